@@ -7,6 +7,7 @@ bucket of a group holds a wanted rank, and only those buckets are ordered value
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,15 +60,17 @@ def values_at_ranks(
         r = F.col(f"rank_{name}")
         holds_rank = holds_rank | ((r >= F.col("before")) & (r < F.col("before") +
                                                              F.col("bucket_n")))
-    wanted = histogram.where(holds_rank).drop("bucket_n")
+    wanted = histogram.where(holds_rank).drop("bucket_n").withColumnsRenamed(
+        {k: f"wanted_{k}" for k in [*keys, "bucket"]}
+    )
     inside = Window.partitionBy(*keys, "bucket").orderBy("v")
-    on = [counted[k].eqNullSafe(wanted[k]) for k in keys] + [counted.bucket == wanted.bucket]
+    on = reduce(
+        lambda a, b: a & b,
+        [F.col(k).eqNullSafe(F.col(f"wanted_{k}")) for k in [*keys, "bucket"]],
+    )
     located = (
         counted.join(wanted, on)
-        .select(
-            *[counted[k] for k in keys], counted.bucket, "v", "n", "before", "n_values",
-            *[f"rank_{name}" for name in ranks],
-        )
+        .drop(*[f"wanted_{k}" for k in [*keys, "bucket"]])
         .withColumn("upto", F.col("before") + F.sum("n").over(inside))
     )
     picks = [

@@ -151,7 +151,7 @@ def activity_counts(events: DataFrame) -> DataFrame:
         F.coalesce(F.trim(F.col("actor_login")), F.lit("")).alias("actor"),
     ).agg(
         *[F.count_if(c).alias(k) for k, c in flags.items()],
-        F.bit_or(F.shiftleft(F.lit(1), F.dayofmonth("event_date"))).alias("days"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth("event_date"))).alias("days"),
         F.max_by("sample_percent", F.when(F.col("sample_percent").isNotNull(),
                                           F.col("event_ts"))).alias("sample_percent"),
         F.max(F.when(F.col("sample_percent").isNotNull(), F.col("event_ts"))).alias("sampled_at"),

@@ -23,9 +23,13 @@ GRID_COLUMNS = (
 
 
 def dense_grid(entities: DataFrame, start: str, end: str, entity: str = "entity") -> DataFrame:
-    """Every entity at every month of the range; other entity columns are carried along."""
+    """Every entity at every month of the range; other entity columns are carried along.
+
+    The short entity table is distributed by entity before it is multiplied by the months, so
+    the dense grid itself never travels.
+    """
     last = D.months_between_keys(start, end) - 1
-    indexed = entities.select(
+    indexed = entities.repartition(entity).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("window_index")
     )
     begin = F.add_months(F.to_date(F.lit(f"{start}-01")), F.col("window_index"))
@@ -45,13 +49,14 @@ def panel_rows(grid: DataFrame, families: Sequence[DataFrame]) -> DataFrame:
     """One row per (entity, month number) out of grid rows and monthly family rows.
 
     Family months outside the grid stay (``in_grid`` false) so that to-date frames see history
-    from before the first grid month. One exchange by entity serves all later windows.
+    from before the first grid month. Grid and families share one distribution by entity, which
+    the union keeps and all later windows reuse.
     """
     stacked = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        families,
+        [family.repartition("entity") for family in families],
         grid.withColumn("in_grid", F.lit(True)),
-    ).repartition("entity")
+    )
     payload = [c for c in stacked.columns if c not in ("entity", "month_no", "in_grid")]
     return stacked.groupBy("entity", "month_no").agg(
         F.coalesce(F.bool_or("in_grid"), F.lit(False)).alias("in_grid"),
