@@ -72,9 +72,9 @@ def customer_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First line of each urgent order as an incident of its supplier."""
+    """Each line of an urgent order as an incident of its supplier."""
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey).select(
         *_incident_columns("l_suppkey")
     )
@@ -93,7 +93,7 @@ SUPPLIER_INCIDENTS_SQL = f"""
 incidents AS (
   SELECT l_suppkey AS entity, {_INCIDENT_SELECT}
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-  WHERE o_orderpriority = '1-URGENT' AND l_linenumber = 1)"""
+  WHERE o_orderpriority = '1-URGENT')"""
 
 
 # --- activity: order lines as events of their supplier ---------------------------------------
@@ -197,7 +197,7 @@ def customer_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey).select(
         *_visit_columns("l_suppkey")
     )
@@ -218,7 +218,7 @@ visits AS (SELECT o_custkey AS entity, {_VISIT_SELECT} FROM orders WHERE o_order
 SUPPLIER_VISITS_SQL = f"""
 visits AS (SELECT l_suppkey AS entity, {_VISIT_SELECT}
            FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-           WHERE o_orderstatus = 'F' AND l_linenumber = 1)"""
+           WHERE o_orderstatus = 'F')"""
 
 
 # --- predictions: labelled documents ----------------------------------------------------------
