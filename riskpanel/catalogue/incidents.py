@@ -248,13 +248,13 @@ def page_extract(spark, sf_dir):
 
 @register("incidents_from_pages", f"""
 WITH {_SCORE_SQL.replace('FROM orders)', 'FROM (SELECT DISTINCT page_id * 37 AS o_orderkey FROM pages))')},
-w AS (SELECT c_custkey AS entity, c_custkey % (SELECT count(*) FROM pages) AS page_id FROM customer)
-SELECT w.entity, 'https://www.vendor.example/p' || CAST(w.page_id AS VARCHAR) AS url,
-  w.entity % 3 = 0 AS active_security_warning,
-  'SECURITY-' || CAST(w.page_id % 50 AS VARCHAR) AS warning_ids,
-  CASE WHEN w.page_id % 2 = 0 THEN 'high' ELSE 'low' END AS max_severity_label,
+wn AS (SELECT c_custkey AS entity, c_custkey % (SELECT count(*) FROM pages) AS page_id FROM customer)
+SELECT wn.entity, 'https://www.vendor.example/p' || CAST(wn.page_id AS VARCHAR) AS url,
+  wn.entity % 3 = 0 AS active_security_warning,
+  'SECURITY-' || CAST(wn.page_id % 50 AS VARCHAR) AS warning_ids,
+  CASE WHEN wn.page_id % 2 = 0 THEN 'high' ELSE 'low' END AS max_severity_label,
   z.score AS max_cvss_base_score
-FROM w JOIN z ON z.o_orderkey = w.page_id * 37""")
+FROM wn JOIN z ON z.o_orderkey = wn.page_id * 37""")
 def incidents_from_pages(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     n = pages.agg(F.count(F.lit(1)).alias("n_pages"))

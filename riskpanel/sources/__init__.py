@@ -1 +1 @@
-"""TODO"""
+"""Readers, writers and declared schemas."""
