@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,31 +21,48 @@ def _weight(value: Column, table: dict[str, float]) -> Column:
     return F.try_element_at(F.create_map(*pairs), value)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def cvss3_base_score(vector: Column) -> Column:
     """Base score of a version 3 vector; a vector that lacks a base metric scores null."""
-    changed = _metric(vector, "S") == "C"
-    required = F.when(changed, _weight(_metric(vector, "PR"), K.CVSS_WEIGHTS["PR_CHANGED"]))
-    required = required.otherwise(
-        _weight(_metric(vector, "PR"), K.CVSS_WEIGHTS["PR_UNCHANGED"])
+    weights = K.CVSS_WEIGHTS
+    read = _let(
+        F.named_struct(*[x for m in ("AV", "AC", "PR", "UI", "S", "C", "I", "A")
+                         for x in (F.lit(m), _metric(vector, m))]),
+        lambda m: F.named_struct(
+            F.lit("changed"), m["S"] == "C",
+            F.lit("reach"), (F.lit(8.22) * _weight(m["AV"], weights["AV"]) * _weight(m["AC"], weights["AC"])
+             * F.when(m["S"] == "C", _weight(m["PR"], weights["PR_CHANGED"]))
+             .otherwise(_weight(m["PR"], weights["PR_UNCHANGED"]))
+             * _weight(m["UI"], weights["UI"])),
+            F.lit("loss"), (F.lit(1.0) - (F.lit(1.0) - _weight(m["C"], weights["CIA"]))
+             * (F.lit(1.0) - _weight(m["I"], weights["CIA"]))
+             * (F.lit(1.0) - _weight(m["A"], weights["CIA"]))),
+        ),
     )
-    reach = (
-        F.lit(8.22)
-        * _weight(_metric(vector, "AV"), K.CVSS_WEIGHTS["AV"])
-        * _weight(_metric(vector, "AC"), K.CVSS_WEIGHTS["AC"])
-        * required
-        * _weight(_metric(vector, "UI"), K.CVSS_WEIGHTS["UI"])
+    rated = _let(
+        read,
+        lambda r: F.named_struct(
+            F.lit("changed"), r["changed"], F.lit("reach"), r["reach"],
+            F.lit("impact"), F.when(
+                r["changed"],
+                F.lit(7.52) * (r["loss"] - 0.029)
+                - F.lit(3.25) * F.pow(r["loss"] - 0.02, F.lit(15.0)),
+            ).otherwise(F.lit(6.42) * r["loss"]),
+        ),
     )
-    kept = F.lit(1.0)
-    for name in ("C", "I", "A"):
-        kept = kept * (F.lit(1.0) - _weight(_metric(vector, name), K.CVSS_WEIGHTS["CIA"]))
-    loss = F.lit(1.0) - kept
-    impact = F.when(
-        changed, F.lit(7.52) * (loss - 0.029) - F.lit(3.25) * F.pow(loss - 0.02, F.lit(15.0))
-    ).otherwise(F.lit(6.42) * loss)
-    total = F.when(changed, F.lit(1.08) * (impact + reach)).otherwise(impact + reach)
-    score = F.ceil(F.least(total, F.lit(10.0)) * 10.0 + 1e-10) / F.lit(10.0)
-    scored = F.when(impact <= 0, F.lit(0.0)).otherwise(score)
-    return F.when(vector.startswith("CVSS:3") & reach.isNotNull() & loss.isNotNull(), scored)
+
+    def score(r: Column) -> Column:
+        total = F.when(r["changed"], F.lit(1.08) * (r["impact"] + r["reach"])).otherwise(
+            r["impact"] + r["reach"])
+        rounded_up = F.ceil(F.least(total, F.lit(10.0)) * 10.0 + 1e-10) / F.lit(10.0)
+        return F.when(r["reach"].isNotNull() & r["impact"].isNotNull(),
+                      F.when(r["impact"] <= 0, F.lit(0.0)).otherwise(rounded_up))
+
+    return F.when(vector.startswith("CVSS:3"), _let(rated, score))
 
 
 def severity_label(score: Column) -> Column:
