@@ -26,17 +26,22 @@ def values_at_ranks(
     keys: Sequence[str],
     value: Column,
     ranks: dict[str, Callable[[Column], Column]],
+    weight: str | None = None,
 ) -> DataFrame:
     """Value at zero-based ranks per group; each rank is a function of the group size.
 
-    Returns the keys, ``n_values`` and one column per rank. Null values do not count.
+    Returns the keys, ``n_values`` and one column per rank. Null values do not count. ``weight``
+    names a column that says how many times a row counts.
     """
     keys = list(keys)
     counted = (
-        df.select(*keys, value.cast("double").alias("v"))
+        df.select(
+            *keys, value.cast("double").alias("v"),
+            (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("times"),
+        )
         .where(F.col("v").isNotNull())
         .groupBy(*keys, "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("times").alias("n"))
         .withColumn("bucket", _bucket(F.col("v")))
     )
     one_group = keys or [F.lit(0)]
@@ -87,19 +92,21 @@ def values_at_ranks(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, fractions: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: Column, fractions: dict[str, float],
+    weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per named fraction."""
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, p in fractions.items():
         ranks[f"{name}_lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
         ranks[f"{name}_hi"] = lambda n, p=p: F.least(F.floor((n - 1) * F.lit(p)) + 1, n - 1)
-    found = values_at_ranks(df, keys, value, ranks)
+    found = values_at_ranks(df, keys, value, ranks, weight)
 
     def blend(name: str, p: float) -> Column:
         position = (F.col("n_values") - 1) * F.lit(p)
         share = position - F.floor(position)
-        return (F.col(f"{name}_lo") * (1 - share) + F.col(f"{name}_hi") * share).alias(name)
+        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        return (low + (high - low) * share).alias(name)
 
     return found.select(*keys, "n_values", *[blend(k, p) for k, p in fractions.items()])
 
