@@ -1,10 +1,14 @@
-"""Sinks: JSON lines, CSV, partitioned tables and run summaries."""
+"""Sinks: JSON lines, CSV, ORC tables, partitioned layouts and run summaries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskpanel.sources.schemas import ARCHIVE_TABLES
+
 
 def panel_summary(panel: DataFrame, entity: str = "entity") -> DataFrame:
     """One-row summary of a panel, in one aggregate over all rows."""
@@ -22,9 +26,102 @@ def panel_summary(panel: DataFrame, entity: str = "entity") -> DataFrame:
     )
 
 
+def bundle_summary(bundle: DataFrame) -> DataFrame:
+    """One-row coverage summary of the current-point bundle."""
+    families = {
+        "plugins_with_snapshot": "snapshot_present",
+        "plugins_with_advisories": "advisories_present",
+        "plugins_with_healthscore": "healthscore_present",
+        "plugins_with_software_heritage": "swh_present",
+        "plugins_with_github": "github_present",
+        "plugins_with_gharchive": "gharchive_present",
+    }
+    return bundle.agg(
+        F.count(F.lit(1)).alias("plugins_total"),
+        *[F.count_if(F.col(c)).alias(k) for k, c in families.items() if c in bundle.columns])
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON lines with sorted keys; null fields are kept."""
+    df.select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def _csv_scalar(name: str, kind: str) -> Column:
+    nested = kind in ("array", "map", "struct")
+    return (F.to_json(F.col(name)) if nested else F.col(name)).alias(name)
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with a sorted header; nested values become JSON text."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    df.select(*[_csv_scalar(c, kinds[c]) for c in sorted(df.columns)]).write.mode(mode).option(
+        "header", True).option("escape", '"').csv(path)
+
+
+def write_predictions(df: DataFrame, path: str, key: str = "plugin_id") -> None:
+    """Prediction table sink: key, month, y_true, y_prob."""
+    df.select(F.col("entity").alias(key), "month", "y_true", "y_prob").write.mode(
+        "overwrite").option("header", True).csv(path)
+
+
 def write_partitioned(
-    df: DataFrame, path: str, columns: list[str], mode: str = "overwrite", fmt: str = "parquet"
+    df: DataFrame, path: str, columns: Sequence[str], mode: str = "overwrite", fmt: str = "parquet"
 ) -> None:
     """One directory per key. Rows of one key may come from many tasks, so a key that holds a
     large share of all rows is written by many tasks as several files."""
     df.write.mode(mode).partitionBy(*columns).format(fmt).save(path)
+
+
+def write_months(df: DataFrame, path: str, overwrite: bool = False,
+                 column: str = "event_yyyymm") -> None:
+    """Append to month partitions; with ``overwrite`` each touched month is replaced once."""
+    writer = df.write.partitionBy(column)
+    if overwrite:
+        writer = writer.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    else:
+        writer = writer.mode("append")
+    writer.parquet(path)
+
+
+def create_orc_table(df: DataFrame, name: str, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Store a result as a compressed ORC table at a path."""
+    writer = df.write.format("orc").mode("overwrite").option("compression", "zstd").option(
+        "path", path)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.saveAsTable(name)
+
+
+def register_archive_table(spark: SparkSession, table: str, name: str, location: str) -> None:
+    """Register landed ORC files as a typed table of the archive graph."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ARCHIVE_TABLES[table]}) "
+              f"USING ORC LOCATION '{location}'")
+
+
+def refresh_partitions(spark: SparkSession, name: str) -> None:
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+
+
+def hash_prefix(key: Column, hashed: bool = True) -> Column:
+    """Two hex digits: of the key's MD5, or of the key itself where it already is a hash."""
+    return F.substring(F.md5(key.cast("string")) if hashed else key, 1, 2)
+
+
+def write_prefix_layout(
+    df: DataFrame, name: str, path: str, key: str, prefix: str, hashed: bool = True,
+    files_per_prefix: int = 4,
+) -> None:
+    """Rewrite a table into 256 prefix directories so that point lookups read one of them.
+
+    Rows are first brought together by prefix and a few salt values, which bounds both the file
+    count and the rows one task writes for a prefix with a hot key.
+    """
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(files_per_prefix))
+    laid_out = df.withColumn(prefix, hash_prefix(F.col(key), hashed)).repartition(
+        F.col(prefix), salt)
+    create_orc_table(laid_out, name, path, [prefix])
+
+
+def create_lookup_view(spark: SparkSession, view: str, table: str, columns: Sequence[str]) -> None:
+    """View with the columns of the original table over its rewritten layout."""
+    spark.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT {', '.join(columns)} FROM {table}")
