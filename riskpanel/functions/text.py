@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 from riskpanel import constants as K
 
 
-def any_of_pattern(words: Iterable[str]) -> str:
-    """Regex matching any of the words as a plain substring.
-
-    A word that contains another one can never decide the match, so only minimal words stay.
-    """
+def minimal_words(words: Iterable[str]) -> list[str]:
+    """The words that can decide a substring match: one that contains another never does."""
     unique = sorted(set(words), key=len)
-    minimal = [w for i, w in enumerate(unique) if not any(u in w for u in unique[:i])]
-    return "|".join(re.sub(r"([\\.\[\](){}^$*+?|-])", r"\\\1", w) for w in minimal)
+    return [w for i, w in enumerate(unique) if not any(u in w for u in unique[:i])]
 
 
 def mentions_any(text: Column, words: Iterable[str]) -> Column:
-    """True when any word occurs as a substring; text must already be lower case."""
-    return F.coalesce(text.rlike(any_of_pattern(words)), F.lit(False))
+    """True when any word occurs as a substring; text must already be lower case.
+
+    Plain substring searches in generated code: several times faster on long texts than one
+    regular expression with as many alternatives.
+    """
+    hits = [F.contains(text, F.lit(w)) for w in minimal_words(words)]
+    return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
 
 
 def text_blob(*parts: Column) -> Column:

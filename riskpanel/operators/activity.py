@@ -106,13 +106,9 @@ def normalize_events(
 
 
 def _flags() -> dict[str, Column]:
-    """Zero-or-one columns summed per actor and month."""
-    kind = F.trim(F.col("event_type"))
-    action = F.lower(F.trim(F.col("action")))
-    ref = F.lower(F.trim(F.col("ref_type")))
-    closed = F.coalesce(action == "closed", F.lit(False))
+    """What is counted per actor and month, over the tested columns of an event."""
+    kind, closed = F.col("kind"), F.coalesce(F.col("act") == "closed", F.lit(False))
     pull, issue, created = (kind == f"{k}Event" for k in ("PullRequest", "Issues", "Create"))
-    bump = T.mentions_any(F.col("text_blob"), K.DEPENDENCY_KEYWORDS)
     return {
         "events_total": F.lit(True),
         "push_events": kind == "PushEvent",
@@ -125,12 +121,12 @@ def _flags() -> dict[str, Column]:
         "release_events": kind == "ReleaseEvent",
         "watch_events": kind == "WatchEvent",
         "fork_events": kind == "ForkEvent",
-        "branch_create_events": created & (ref == "branch"),
-        "tag_create_events": created & (ref == "tag"),
-        "security_keyword_events": T.mentions_any(F.col("text_blob"), K.SECURITY_KEYWORDS),
-        "hotfix_keyword_events": T.mentions_any(F.col("text_blob"), K.HOTFIX_KEYWORDS),
-        "bump_by_text": bump,
-        "bump_by_pull": pull & ~bump,
+        "branch_create_events": created & (F.col("ref") == "branch"),
+        "tag_create_events": created & (F.col("ref") == "tag"),
+        "security_keyword_events": F.col("security"),
+        "hotfix_keyword_events": F.col("hotfix"),
+        "bump_by_text": F.col("bump"),
+        "bump_by_pull": pull & ~F.col("bump"),
     }
 
 
@@ -146,15 +142,24 @@ def activity_counts(events: DataFrame) -> DataFrame:
         & T.blank_to_null(F.col("event_yyyymm")).isNotNull()
     )
     flags = _flags()
-    by_actor = keyed.groupBy(
+    sampled = F.when(F.col("sample_percent").isNotNull(), F.col("event_ts"))
+    # each test once per event; the aggregate below only counts
+    tested = keyed.select(
         "entity", F.trim(F.col("event_yyyymm")).alias("month"),
         F.coalesce(F.trim(F.col("actor_login")), F.lit("")).alias("actor"),
-    ).agg(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth("event_date"))
+        .alias("day_bit"), "sample_percent", sampled.alias("sampled_at"),
+        T.mentions_any(F.col("text_blob"), K.DEPENDENCY_KEYWORDS).alias("bump"),
+        F.trim(F.col("event_type")).alias("kind"), F.lower(F.trim("action")).alias("act"),
+        F.lower(F.trim("ref_type")).alias("ref"), "pr_merged",
+        T.mentions_any(F.col("text_blob"), K.SECURITY_KEYWORDS).alias("security"),
+        T.mentions_any(F.col("text_blob"), K.HOTFIX_KEYWORDS).alias("hotfix"),
+    )
+    by_actor = tested.groupBy("entity", "month", "actor").agg(
         *[F.count_if(c).alias(k) for k, c in flags.items()],
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth("event_date"))).alias("days"),
-        F.max_by("sample_percent", F.when(F.col("sample_percent").isNotNull(),
-                                          F.col("event_ts"))).alias("sample_percent"),
-        F.max(F.when(F.col("sample_percent").isNotNull(), F.col("event_ts"))).alias("sampled_at"),
+        F.bit_or("day_bit").alias("days"),
+        F.max_by("sample_percent", "sampled_at").alias("sample_percent"),
+        F.max("sampled_at").alias("sampled_at"),
     )
     bot, named = T.is_bot(F.col("actor")), F.col("actor") != ""
     human_pushes = F.when(named & ~bot & (F.col("push_events") > 0), F.col("push_events"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskpanel.functions import text as T
@@ -61,18 +61,28 @@ def build_alias_map(candidates: DataFrame) -> DataFrame:
         F.min_by("canonical", order).alias("canonical"))
 
 
+HOPS_PER_ROUND = 3
+
+
 def _follow(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
-    """Follow each pointer to its end by repeated doubling; True when some never end."""
+    """Follow each pointer to its end; True when some never end.
+
+    A round appends stored pointers to themselves several times, so reach grows by that factor
+    plus one each round. The number of pointers that moved is observed while the round is
+    written, which saves a job of its own.
+    """
     pointers = edges.select(F.col("alias").alias("node"), F.col("canonical").alias("target"))
     for _ in range(rounds):
         step = pointers.select(F.col("node").alias("target"), F.col("target").alias("further"))
-        pointers = materialize(
-            pointers.join(step, "target", "left").select(
+        reached = pointers.select("node", "target", F.lit(False).alias("moved"))
+        for _ in range(HOPS_PER_ROUND):
+            reached = reached.join(step, "target", "left").select(
                 "node", F.coalesce("further", "target").alias("target"),
-                F.col("further").isNotNull().alias("moved")),
-            "alias-round",
-        )
-        if not pointers.where("moved").take(1):
+                F.col("further").isNotNull().alias("moved"))
+        moved = Observation()
+        pointers = materialize(
+            reached.observe(moved, F.count_if("moved").alias("n")), "alias-round")
+        if moved.get["n"] == 0:
             return pointers, False
     return pointers, True
 
@@ -80,14 +90,17 @@ def _follow(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
 def resolve_aliases(alias_map: DataFrame) -> DataFrame:
     """Final canonical name of every alias.
 
-    Pointers double each round, so a chain of n names needs log n equi-joins. Names that lead
-    into a cycle resolve to the first cycle member on their path; cycle members to themselves.
+    The reach of pointers multiplies each round, so a chain of n names needs log n rounds of
+    equi-joins. Names that lead into a cycle resolve to the first cycle member on their path;
+    cycle members to themselves.
     """
+    size = Observation()
     edges = materialize(
-        alias_map.where(F.col("alias") != F.col("canonical")).select("alias", "canonical"),
+        alias_map.where(F.col("alias") != F.col("canonical")).select("alias", "canonical")
+        .observe(size, F.count(F.lit(1)).alias("n")),
         "alias-edges",
     )
-    rounds = max(1, math.ceil(math.log2(edges.count() + 2)))
+    rounds = max(1, math.ceil(math.log(size.get["n"] + 2, HOPS_PER_ROUND + 1)))
     ends, endless = _follow(edges, rounds)
     if endless:
         # after at least as many steps as there are names, an endless pointer is on its cycle

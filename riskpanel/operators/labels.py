@@ -61,15 +61,13 @@ def attach_labels(
     """Horizon labels from the next rows of each entity, null where the future is cut off.
 
     The current month never counts. With ``require_dense`` the running query fails on the first
-    gap or duplicate month, because the labels are positional. All frames run over one reversed
-    order, so "following" frames stay incremental.
+    gap or duplicate month, because the labels are positional. All frames, the check included, run
+    over one reversed order, so "following" frames stay incremental.
     """
     month = month_of_row(df)
-    spec = Window.partitionBy(entity).orderBy("label_month_no")
     backwards = Window.partitionBy(entity).orderBy(F.desc("label_month_no"))
-    rows = df.withColumns({
-        "label_month_no": D.month_number_of_key(month), "label_had": incident_indicator(df),
-    })
+    number = F.col("month_no") if "month_no" in df.columns else D.month_number_of_key(month)
+    rows = df.withColumns({"label_month_no": number, "label_had": incident_indicator(df)})
     if require_dense:
         step = F.col("label_month_no") - F.col("label_previous_no")
         message = F.concat(
@@ -77,7 +75,7 @@ def attach_labels(
             F.lit(" for entity "), F.col(entity).cast("string"),
             F.lit("; labels need one row per consecutive month"),
         )
-        rows = rows.withColumn("label_previous_no", F.lag("label_month_no").over(spec))
+        rows = rows.withColumn("label_previous_no", F.lead("label_month_no").over(backwards))
         rows = rows.withColumn(
             "label_had",
             F.when(F.col("label_previous_no").isNull() | (step == 1), F.col("label_had"))

@@ -22,6 +22,16 @@ GRID_COLUMNS = (
 )
 
 
+def by_entity(df: DataFrame, entity: str = "entity") -> DataFrame:
+    """Distribute by entity over a fixed number of partitions.
+
+    The explicit number keeps adaptive coalescing away: before the grid is multiplied by its
+    months the rows are few, and merging them would leave the later frames to a handful of tasks.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, entity)
+
+
 def dense_grid(entities: DataFrame, start: str, end: str, entity: str = "entity") -> DataFrame:
     """Every entity at every month of the range; other entity columns are carried along.
 
@@ -29,7 +39,7 @@ def dense_grid(entities: DataFrame, start: str, end: str, entity: str = "entity"
     the dense grid itself never travels.
     """
     last = D.months_between_keys(start, end) - 1
-    indexed = entities.repartition(entity).select(
+    indexed = by_entity(entities, entity).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("window_index")
     )
     begin = F.add_months(F.to_date(F.lit(f"{start}-01")), F.col("window_index"))
@@ -54,7 +64,7 @@ def panel_rows(grid: DataFrame, families: Sequence[DataFrame]) -> DataFrame:
     """
     stacked = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [family.repartition("entity") for family in families],
+        [by_entity(family) for family in families],
         grid.withColumn("in_grid", F.lit(True)),
     )
     payload = [c for c in stacked.columns if c not in ("entity", "month_no", "in_grid")]
