@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskpanel.functions import text as T
@@ -68,8 +68,7 @@ def _follow(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
     """Follow each pointer to its end; True when some never end.
 
     A round appends stored pointers to themselves several times, so reach grows by that factor
-    plus one each round. The number of pointers that moved is observed while the round is
-    written, which saves a job of its own.
+    plus one each round.
     """
     pointers = edges.select(F.col("alias").alias("node"), F.col("canonical").alias("target"))
     for _ in range(rounds):
@@ -79,10 +78,8 @@ def _follow(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
             reached = reached.join(step, "target", "left").select(
                 "node", F.coalesce("further", "target").alias("target"),
                 F.col("further").isNotNull().alias("moved"))
-        moved = Observation()
-        pointers = materialize(
-            reached.observe(moved, F.count_if("moved").alias("n")), "alias-round")
-        if moved.get["n"] == 0:
+        pointers = materialize(reached, "alias-round")
+        if not pointers.where("moved").take(1):
             return pointers, False
     return pointers, True
 
@@ -94,13 +91,11 @@ def resolve_aliases(alias_map: DataFrame) -> DataFrame:
     equi-joins. Names that lead into a cycle resolve to the first cycle member on their path;
     cycle members to themselves.
     """
-    size = Observation()
     edges = materialize(
-        alias_map.where(F.col("alias") != F.col("canonical")).select("alias", "canonical")
-        .observe(size, F.count(F.lit(1)).alias("n")),
+        alias_map.where(F.col("alias") != F.col("canonical")).select("alias", "canonical"),
         "alias-edges",
     )
-    rounds = max(1, math.ceil(math.log(size.get["n"] + 2, HOPS_PER_ROUND + 1)))
+    rounds = max(1, math.ceil(math.log(edges.count() + 2, HOPS_PER_ROUND + 1)))
     ends, endless = _follow(edges, rounds)
     if endless:
         # after at least as many steps as there are names, an endless pointer is on its cycle
