@@ -257,7 +257,8 @@ commits AS (SELECT 's' || CAST(l_orderkey % 1500 AS VARCHAR) AS snapshot_id, cou
 seen AS (SELECT snapshot_id, max(visit_date) AS at FROM visits GROUP BY 1)
 SELECT v.origin, v.visit, COALESCE(has_jenkinsfile, FALSE) AS has_jenkinsfile,
   COALESCE(top_level_entry_count, 0) AS top_level_entry_count, COALESCE(c.n, 0) AS commit_count,
-  CAST(greatest(0, date_diff('day', c.last_commit, s.at)) AS DOUBLE) AS days_since_last_commit
+  CASE WHEN c.last_commit IS NOT NULL THEN
+    CAST(greatest(0, date_diff('day', c.last_commit, s.at)) AS DOUBLE) END AS days_since_last_commit
 FROM visits v LEFT JOIN flags f ON f.snapshot_id = v.snapshot_id
 LEFT JOIN commits c ON c.snapshot_id = v.snapshot_id JOIN seen s ON s.snapshot_id = v.snapshot_id""")
 def assembled_visits(spark, sf_dir):
