@@ -36,20 +36,28 @@ def incident_indicator(df: DataFrame) -> Column:
 
 
 def density_violations(df: DataFrame, entity: str = "entity") -> DataFrame:
-    """Rows whose month does not directly follow the month before it of the same entity."""
+    """Rows whose month does not directly follow the month before it of the same entity.
+
+    Rows are counted per entity and month first, so repeated months of a hot entity collapse
+    before the ordered comparison; each surplus row is still reported on its own.
+    """
     month = month_of_row(df)
-    keyed = df.select(F.col(entity).alias("entity"), month.alias("month"),
-                      D.month_number_of_key(month).alias("month_no"))
+    months = df.groupBy(F.col(entity).alias("entity"), month.alias("month")).agg(
+        F.count(F.lit(1)).alias("n"))
+    number = D.month_number_of_key(F.col("month"))
     order = Window.partitionBy("entity").orderBy("month_no")
     step = F.col("month_no") - F.col("previous_no")
-    return (
-        keyed.select("*", F.lag("month_no").over(order).alias("previous_no"),
-                     F.lag("month").over(order).alias("previous_month"))
-        .where(F.col("previous_no").isNotNull() & (step != 1))
-        .select("entity", "previous_month", "month",
-                F.when(step == 0, "duplicate").otherwise("gap").alias("violation"),
-                (step - 1).alias("missing_months"))
-    )
+    compared = months.withColumn("month_no", number).select(
+        "*", F.lag("month_no").over(order).alias("previous_no"),
+        F.lag("month").over(order).alias("previous_month"))
+    gaps = compared.where(step != 1).select(
+        "entity", "previous_month", "month", F.lit("gap").alias("violation"),
+        (step - 1).alias("missing_months"))
+    surplus = months.where(F.col("n") > 1).select(
+        "entity", "month", F.explode(F.sequence(F.lit(2).cast("long"), "n")))
+    return gaps.unionByName(surplus.select(
+        "entity", F.col("month").alias("previous_month"), "month",
+        F.lit("duplicate").alias("violation"), F.lit(-1).alias("missing_months")))
 
 
 def attach_labels(

@@ -74,8 +74,11 @@ def write_partitioned(
 
 def write_months(df: DataFrame, path: str, overwrite: bool = False,
                  column: str = "event_yyyymm") -> None:
-    """Append to month partitions; with ``overwrite`` each touched month is replaced once."""
-    writer = df.write.partitionBy(column)
+    """Append to month partitions; with ``overwrite`` each touched month is replaced once.
+
+    Rows are rebalanced by month: small months share a task, a large one is split over many.
+    """
+    writer = df.hint("rebalance", column).write.partitionBy(column)
     if overwrite:
         writer = writer.option("partitionOverwriteMode", "dynamic").mode("overwrite")
     else:
@@ -109,16 +112,13 @@ def hash_prefix(key: Column, hashed: bool = True) -> Column:
 
 def write_prefix_layout(
     df: DataFrame, name: str, path: str, key: str, prefix: str, hashed: bool = True,
-    files_per_prefix: int = 4,
 ) -> None:
     """Rewrite a table into 256 prefix directories so that point lookups read one of them.
 
-    Rows are first brought together by prefix and a few salt values, which bounds both the file
-    count and the rows one task writes for a prefix with a hot key.
+    Rows are rebalanced by prefix, which keeps files large and splits the prefix of a hot key
+    over as many tasks as its size asks for.
     """
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(files_per_prefix))
-    laid_out = df.withColumn(prefix, hash_prefix(F.col(key), hashed)).repartition(
-        F.col(prefix), salt)
+    laid_out = df.withColumn(prefix, hash_prefix(F.col(key), hashed)).hint("rebalance", prefix)
     create_orc_table(laid_out, name, path, [prefix])
 
 
