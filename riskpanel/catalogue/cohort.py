@@ -127,7 +127,7 @@ def value_corr(spark, sf_dir):
     return C.value_correlations(_contributions(spark, sf_dir), list(FEATURES))
 
 
-@register("binned_profile", f"""{_LONG_SQL},
+_PROFILE_SQL = f"""{_LONG_SQL},
 st AS (SELECT feature, count(DISTINCT x) AS nd, min(x) AS mn, count(*) AS n, avg(CASE WHEN miss THEN 1.0 ELSE 0 END) AS ms
   FROM long GROUP BY feature),
 st2 AS (SELECT st.*, (SELECT count(*) FROM long l WHERE l.feature = st.feature AND l.x = st.mn) AS nmin FROM st),
@@ -156,13 +156,21 @@ pl AS (
     FROM long l JOIN e ON e.feature = l.feature AND k = 'observed' WHERE NOT l.miss AND len(q) >= 3))
 SELECT feature, scope, CAST(bin AS BIGINT) AS bin, round(min(lo), 6) AS value_lo, round(max(hi), 6) AS value_hi,
   count(*) AS n, round_even(sum(s) / count(*), 4) AS mean_contribution
-FROM pl GROUP BY feature, scope, bin HAVING count(*) >= 5""")
+FROM pl GROUP BY feature, scope, bin HAVING count(*) >= 5"""
+
+
+@register("binned_profile", _PROFILE_SQL)
 def binned_profile(spark, sf_dir):
     profiles = C.binned_profiles(_contributions(spark, sf_dir), list(FEATURES))
     return B.rounded(profiles, 6)
 
 
-@register("profile_shape")
+@register("profile_shape", f"""WITH profiles AS ({_PROFILE_SQL}),
+steps AS (SELECT feature, mean_contribution - lag(mean_contribution)
+            OVER (PARTITION BY feature ORDER BY bin) AS step FROM profiles WHERE scope = 'all')
+SELECT feature, CASE WHEN count(*) < 3 THEN NULL WHEN min(step) >= -1e-9 THEN 'increasing'
+  WHEN max(step) <= 1e-9 THEN 'decreasing' ELSE 'non-monotone' END AS bin_shape
+FROM steps GROUP BY feature""")
 def profile_shape(spark, sf_dir):
     return C.profile_shapes(C.binned_profiles(_contributions(spark, sf_dir), list(FEATURES)))
 
