@@ -6,7 +6,7 @@ import json
 import zipfile
 
 import pytest
-from pyspark.errors import SparkException
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
@@ -45,7 +45,7 @@ def test_documents_take_their_key_from_the_file_name(spark, tmp_path):
 
 def test_strict_scan_fails_and_missing_path_is_empty(spark, tmp_path):
     write(tmp_path / "bad.jsonl", '{"plugin_id": "a"}\n\n{"plugin_id": \n')
-    with pytest.raises(SparkException):
+    with pytest.raises(Py4JJavaError, match="FAILED_READ_FILE"):
         readers.read_jsonl_strict(spark, str(tmp_path / "bad.jsonl"), schemas.REGISTRY).collect()
     tolerant = readers.read_jsonl_tolerant(spark, str(tmp_path / "bad.jsonl"), schemas.REGISTRY)
     assert [r["plugin_id"] for r in tolerant.collect()] == ["a"]
