@@ -334,8 +334,11 @@ SELECT doc_id, {_hit(K.SECURITY_KEYWORDS)} AS security, {_hit(K.HOTFIX_KEYWORDS)
   {_hit(K.DEPENDENCY_KEYWORDS)} AS dependency, {_hit(K.SENSITIVE_NAME_WORDS)} AS sensitive
 FROM d""")
 def keyword_flags(spark, sf_dir):
-    blob = T.text_blob(F.col("text"))
-    return B.table(spark, sf_dir, "documents").select(
+    # lower-cased once per text in a projection of its own, then searched
+    blob = F.col("blob")
+    texts = B.table(spark, sf_dir, "documents").select(
+        "doc_id", T.text_blob(F.col("text")).alias("blob"))
+    return texts.select(
         "doc_id", T.mentions_any(blob, K.SECURITY_KEYWORDS).alias("security"),
         T.mentions_any(blob, K.HOTFIX_KEYWORDS).alias("hotfix"),
         T.mentions_any(blob, K.DEPENDENCY_KEYWORDS).alias("dependency"),

@@ -120,18 +120,19 @@ def commit_signals(meta: DataFrame) -> DataFrame:
     author, committer = F.col("author_date"), F.col("committer_date")
     tz, tz2 = F.col("author_tz_offset_minutes"), F.col("committer_tz_offset_minutes")
     message = F.col("commit_message")
-    blob = F.lower(F.trim(message))
+    # the searched text is prepared once per commit, not once per keyword
+    prepared = meta.withColumn("blob", F.lower(F.trim(message)))
     rows, dated = F.count(F.lit(1)), F.count(author)
 
     def share(condition: Column, of: Column) -> Column:
         return N.half_even(N.safe_div(F.count_if(condition).cast("double"), of), 4)
 
-    counted = meta.groupBy("snapshot_id").agg(
+    counted = prepared.groupBy("snapshot_id").agg(
         rows.alias("commit_count"),
         F.max(author).alias("last_author_date"),
         F.count_distinct(tz).alias("timezone_diversity"),
         share(D.is_weekend(author), dated).alias("weekend_commit_fraction"),
-        F.count_if(T.mentions_any(blob, K.COMMIT_SECURITY_KEYWORDS))
+        F.count_if(T.mentions_any(F.col("blob"), K.COMMIT_SECURITY_KEYWORDS))
         .alias("security_fix_commit_count"),
         share(T.is_merge_message(message), rows).alias("merge_commit_fraction"),
         share(T.is_conventional_message(message), rows).alias("conventional_commit_fraction"),
