@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskpanel.llm import mixing
+from riskpanel.llm import mixing, quality, secret_scan
 from riskpanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +16,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op6_mixing": op6_mixing}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op6_mixing": op6_mixing,
+    "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
+}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL}

@@ -1,0 +1,154 @@
+"""Secret scans: fixed patterns, and entropy of sliding windows over candidate strings.
+
+Everything is column expressions. A candidate is a run of ``MIN_CANDIDATE`` or more letters, digits
+and the signs of base64. For windows of ``WINDOW`` characters over it the sum of c * log2(c) over the
+counts c of the characters is kept up to date: the entering character adds f(c + 1) - f(c), the
+leaving one f(c - 1) - f(c). The highest entropy of a window decides by the candidate's character
+class; candidates on the allow-list are passed over.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from riskpanel.llm.common import joined, let, matches, no_matches
+
+#: Fixed values of the contract.
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]{24,}"
+KINDS = ("assign", "access", "hex", "entropy")
+
+WINDOW = 20
+MIN_CANDIDATE = 24
+CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
+#: Least entropy in bits of the best window, by class: only hex digits, only letters and digits, base64.
+LEAST_BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
+#: What a candidate may hold without being a secret: known sequences, and runs without any digit.
+ALLOWED = r"(?i)0123456789|abcdefghijkl|qwertyuiop|example|sample|dummy|placeholder|xxxxxxxx|^[^0-9]*$"
+
+
+def windowed_entropy(text: Column, window: int = WINDOW) -> Column:
+    """Highest Shannon entropy in bits of ``window`` successive characters; of the whole if it is shorter."""
+
+    def weigh(c: Column) -> Column:
+        return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+
+    def count(inside: Column, sign: Column) -> Column:
+        return (F.length(inside) - F.length(F.replace(inside, sign))).cast("double")
+
+    def step(state: Column, at: Column) -> Column:
+        inside, sums = state["inside"], state["sums"]
+        sign = F.substring(text, at, F.lit(1))
+        enters = count(inside, sign)
+        grown = F.concat(inside, sign)
+        plus = sums + weigh(enters + 1) - weigh(enters)
+        full = F.length(grown) > window
+        leaves = F.substring(grown, F.lit(1), F.lit(1))
+        held = count(grown, leaves)
+        minus = F.when(full, plus + weigh(held - 1) - weigh(held)).otherwise(plus)
+        kept = F.when(full, F.substring(grown, F.lit(2), F.lit(window))).otherwise(grown)
+        size = F.length(kept).cast("double")
+        bits = F.log2(size) - minus / size
+        best = F.when(F.length(kept) == F.least(F.lit(window), F.length(text)), F.greatest(state["best"], bits))
+        return F.struct(
+            kept.alias("inside"), minus.alias("sums"), F.coalesce(best, state["best"]).alias("best")
+        )
+
+    start = F.struct(F.lit("").alias("inside"), F.lit(0.0).alias("sums"), F.lit(0.0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda s: s["best"])
+
+
+def suspicious(text: Column) -> Column:
+    """Whether a candidate's best window reaches the entropy of its class and no allow-list entry holds."""
+    least = (
+        F.when(F.regexp_like(text, F.lit("^[0-9a-fA-F]+$")), LEAST_BITS["hex"])
+        .when(F.regexp_like(text, F.lit("^[0-9A-Za-z]+$")), LEAST_BITS["alnum"])
+        .otherwise(LEAST_BITS["base64"])
+    )
+    return ~F.regexp_like(text, F.lit(ALLOWED)) & (windowed_entropy(text) >= least)
+
+
+def spans_of(text: Column, pattern: str, kind: str, keep, gate: str | None = None) -> Column:
+    """Spans of the matches that ``keep`` accepts; the cheap ``gate`` pattern decides whether to look at all."""
+    found = F.filter(matches(text, pattern), lambda m: keep(m["text"]))
+    shaped = F.transform(
+        found,
+        lambda m: F.struct(
+            m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("place"), m["end"].alias("end"),
+            F.lit(kind).alias("kind"),
+        ),
+    )
+    nothing = F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string>>)")
+    return F.when(F.regexp_like(text, F.lit(gate or pattern)), shaped).otherwise(nothing)
+
+
+def secret_spans(text: Column) -> dict[str, Column]:
+    """For each kind its spans in ``text``, which must not be null."""
+    value = F.length
+    return {
+        "assign": spans_of(text, ASSIGN, "assign", lambda m: value(F.regexp_extract(m, ASSIGN, 1)) >= 6,
+                           r"(?i:word|wd|cret|oken|key)[\"']?\x20*[:=]"),
+        "access": spans_of(text, ACCESS, "access", lambda m: value(m) >= 20),
+        "hex": spans_of(text, HEX, "hex", lambda m: F.lit(True)),
+        "entropy": spans_of(text, CANDIDATE, "entropy", suspicious),
+    }
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` for each row of ``docs``.
+
+    A null or empty text has no spans. Repeated rows and null ids stay as they are; an empty table
+    gives no rows; other columns are not read. An entropy span is left out where a base span covers it.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        "doc_id", F.struct(*[s.alias(k) for k, s in secret_spans(text).items()]).alias("found")
+    )
+    found = F.col("found")
+    base = F.array_sort(F.concat(found["assign"], found["access"], found["hex"]))
+    extra = F.filter(found["entropy"], lambda e: ~F.exists(
+        base, lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
+    return rows.select(
+        "doc_id",
+        *[F.size(found[k]).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.array_sort(F.concat(base, extra))).alias("spans"),
+    )
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret replaced by ``mark`` and ``n_chars``, where there is one, brought up to date.
+
+    Texts without secrets, null ones among them, stay as they are.
+    """
+    text = F.col("text")
+
+    def masked(found: Column) -> Column:
+        """Overlapping spans are merged; the text between them is kept."""
+
+        def step(state: Column, s: Column) -> Column:
+            fresh = s["start"] >= state["at"]
+            return F.struct(
+                F.when(fresh, F.concat(
+                    state["out"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"])), F.array(F.lit(mark))
+                )).otherwise(state["out"]).alias("out"),
+                F.greatest(state["at"], s["end"]).alias("at"),
+            )
+
+        start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("at"))
+        return F.aggregate(
+            found, start, step,
+            lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))),
+        )
+
+    spans = F.array_sort(F.concat(*secret_spans(text).values()))
+    clean = let(spans, lambda found: F.when(F.size(found) > 0, masked(found)).otherwise(text))
+    replaced = docs.withColumn("text", F.when(text.isNull(), text).otherwise(clean))
+    if "n_chars" in docs.columns:
+        changed = F.col("n_chars").isNotNull() & F.col("text").isNotNull()
+        replaced = replaced.withColumn(
+            "n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        )
+    return replaced
