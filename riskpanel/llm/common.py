@@ -104,3 +104,34 @@ def joined(spans: Column) -> Column:
         ),
         ",",
     )
+
+
+def replace_spans(text: Column, spans: Column) -> Column:
+    """``text`` with each span's characters replaced by its ``mark``; spans are sorted by start.
+
+    A span that begins inside an earlier one gives no mark of its own; what it covers goes too.
+    """
+
+    def step(state: Column, s: Column) -> Column:
+        fresh = s["start"] >= state["at"]
+        between = F.substring(text, state["at"] + 1, s["start"] - state["at"])
+        return F.struct(
+            F.when(fresh, F.concat(state["out"], F.array(between, s["mark"]))).otherwise(state["out"]).alias("out"),
+            F.greatest(state["at"], s["end"]).alias("at"),
+        )
+
+    def rest(state: Column) -> Column:
+        return F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("at"))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+
+
+def with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with another text and, where there is such a column, its ``n_chars``; nulls stay null."""
+    out = docs.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        known = F.col("n_chars").isNotNull() & F.col("text").isNotNull()
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(known, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out

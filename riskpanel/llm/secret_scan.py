@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskpanel.llm.common import joined, let, matches, no_matches
+from riskpanel.llm.common import joined, let, matches, replace_spans, with_text
 
 #: Fixed values of the contract.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -124,31 +124,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Texts without secrets, null ones among them, stay as they are.
     """
     text = F.col("text")
-
-    def masked(found: Column) -> Column:
-        """Overlapping spans are merged; the text between them is kept."""
-
-        def step(state: Column, s: Column) -> Column:
-            fresh = s["start"] >= state["at"]
-            return F.struct(
-                F.when(fresh, F.concat(
-                    state["out"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"])), F.array(F.lit(mark))
-                )).otherwise(state["out"]).alias("out"),
-                F.greatest(state["at"], s["end"]).alias("at"),
-            )
-
-        start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("at"))
-        return F.aggregate(
-            found, start, step,
-            lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))),
-        )
-
-    spans = F.array_sort(F.concat(*secret_spans(text).values()))
-    clean = let(spans, lambda found: F.when(F.size(found) > 0, masked(found)).otherwise(text))
-    replaced = docs.withColumn("text", F.when(text.isNull(), text).otherwise(clean))
-    if "n_chars" in docs.columns:
-        changed = F.col("n_chars").isNotNull() & F.col("text").isNotNull()
-        replaced = replaced.withColumn(
-            "n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        )
-    return replaced
+    spans = F.transform(
+        F.array_sort(F.concat(*secret_spans(text).values())),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark).alias("mark")),
+    )
+    clean = let(spans, lambda found: replace_spans(text, found))
+    return with_text(docs, F.when(text.isNull(), text).otherwise(clean))
