@@ -35,7 +35,7 @@ UNITS = (
 #: capitalised words inside a sentence, that is after a small letter, comma, colon or placeholder.
 NUMBER_AT = r"[0-9](?<![\p{L}\p{N}.,/:][0-9])[0-9.,/:]*(?<=[0-9])(?i:" + UNITS + r")?(?![\p{L}\p{N}])"
 UNIT_AT = r"(?<=<num> )(?i:" + UNITS + r")(?![\p{L}\p{N}])"
-NAME_AT = r"\p{Lu}(?<=[\p{Ll}>,;:] \p{Lu})[\p{L}'-]*"
+NAME_AT = r"\p{Lu}(?<=[\p{Ll}>,;:] \p{Lu})[\p{Ll}'-][\p{L}'-]*"
 NO_WORD = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
 NOISE = r"[^\p{L}\p{N}<>\x20\x09-\x0D]+"
 

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskpanel.llm import decontaminate, mixing, pii, quality, secret_scan
+from riskpanel.llm import decontaminate, mixing, near_dedup, pii, quality, secret_scan
 from riskpanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,10 +37,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_near_dedup": op2_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_mixing": op6_mixing,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.SQL, "op6_mixing": mixing.SQL}
