@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskpanel.llm import decontaminate, html_extract, language_id, mixing, near_dedup, pii, quality, secret_scan
+from riskpanel.llm import decontaminate, html_extract, language_id, mixing, near_dedup, pii, quality, secret_scan, topk
 from riskpanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_html": op1_html,
     "op2_near_dedup": op2_near_dedup,
+    "op3_topk": op3_topk,
     "op4_decontamination": op4_decontamination,
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
@@ -54,4 +59,8 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op2_near_dedup": near_dedup.SQL, "op6_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {
+    "op2_near_dedup": near_dedup.SQL,
+    "op3_topk": topk.SQL,
+    "op6_mixing": mixing.SQL,
+}
