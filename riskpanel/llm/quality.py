@@ -236,3 +236,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, fit_
     return docs.select(
         "doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), scorer(docs, model).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` without the rows whose score is below ``threshold``; all columns stay as they are."""
+    model = train(docs, labels, fit_rows=fit_rows)
+    return docs.where(scorer(docs, model) >= threshold)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskpanel.llm import decontaminate, html_extract, language_id, mixing, near_dedup, pii, quality, secret_scan, topk
+from riskpanel.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_dedup, pii, quality, secret_scan, topk
 from riskpanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
+    "op7_lm_score": op7_lm_score,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
