@@ -1,4 +1,9 @@
-"""A training corpus out of ``documents``: stages that each write their rows before the next reads them."""
+"""A training corpus out of ``documents``: stages that each write their rows before the next reads them.
+
+Each stage takes what the one before kept, with the columns of ``documents`` (the last adds its own). Null
+and empty texts, null ids, repeated rows and further columns are treated as the stage's operator says;
+empty tables pass through.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +11,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskpanel.llm import mixing
+from riskpanel.llm import decontaminate, mixing, near_dedup, quality, secret_scan
 from riskpanel.llm.common import table
 from riskpanel.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from their own labels."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.deduplicate(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that give no benchmark item away."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and ``n_chars`` brought up to date."""
+    return secret_scan.redact(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document; documents of which it takes none go."""
     return mixing.mix_sources(docs).where("taken > 0")
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_good),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("secret scans", mask_secrets),
+    ("mixing sources", mix),
+]
 
-#: Fitted scores decide in the first stage, which SQL cannot express; tests compare with brute force.
+#: A fitted classifier decides in the first stage, which SQL cannot express; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
@@ -29,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
+            docs = materialize(docs, "pipeline-" + name.replace(" ", "-"))
     return docs
