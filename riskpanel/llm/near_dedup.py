@@ -5,8 +5,10 @@ make a band. Texts with the same set of shingles are one class and go on as one
 a band are compared twice, so that no bucket is ever unfolded into all its pairs:
 
 1. Each member with the smallest member of its bucket. What passes the test joins components.
-2. Members of a bucket that are still in different components, with each other. Length and a sketch of
-   one bit for each minimum are tested inside the join, so only pairs that look alike leave it.
+2. Members of a bucket that are still in different components, with each other. Lengths, a sketch of one
+   bit for each minimum and a bitmap of the set are tested inside the join, so only pairs that look alike
+   leave it. Bits in which two bitmaps differ are at most the shingles that only one set has, so this
+   test never fails linked texts; it is what keeps large groups of texts just below the threshold apart.
 
 Pairs that look alike are verified on the full sets of shingles. Members of one component need no more
 links, as only reachability counts. Two sets at the threshold miss all bands with a chance of
@@ -36,6 +38,8 @@ PERCENT = 75
 SKETCH_BITS = 36
 #: Sets of shingles that a task keeps for pairs to come.
 HELD_SETS = 64
+#: Bits of a set's bitmap; more shingles than bits only make the test weaker.
+BITMAP = 2048
 PART = 4096
 SEED = 17
 
@@ -95,6 +99,13 @@ def sketch(minima: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each hash modulo ``BITMAP``, as 64-bit numbers."""
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(hashes & np.uint64(BITMAP - 1)).astype(np.intp)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def band_keys(minima: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band's number and minima."""
     with np.errstate(over="ignore"):
@@ -106,7 +117,7 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, class, s1, s2, bands`` for each row; ``class`` is a 128-bit digest of the set."""
+    """``doc_id, n_shingles, class, s1, s2, bits, bands`` for each row; ``class`` is a 128-bit digest of the set."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -115,22 +126,31 @@ def signatures(docs: DataFrame) -> DataFrame:
                 hashes = shingle_hashes(text)
                 minima = signature(hashes)
                 rows.append((
-                    len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), *sketch(minima).tolist(), band_keys(minima)
+                    len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), *sketch(minima).tolist(), bitmap(hashes),
+                    band_keys(minima),
                 ))
-            out = pd.DataFrame(rows, columns=["n_shingles", "class", "s1", "s2", "bands"])
+            out = pd.DataFrame(rows, columns=["n_shingles", "class", "s1", "s2", "bits", "bands"])
             yield out.assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", *out.columns]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(
-        made, f"doc_id {kind}, n_shingles long, class binary, s1 long, s2 long, bands array<bigint>"
+        made, f"doc_id {kind}, n_shingles long, class binary, s1 long, s2 long, bits array<bigint>, bands array<bigint>"
     )
 
 
 def alike(a: str, b: str) -> Column:
-    """Length and sketch test of two sides; linked texts fail it with a chance of 1e-7."""
+    """Length, sketch and bitmap test of two sides; linked texts fail the sketch with a chance of 1e-7."""
+
+    def apart(one: Column, two: Column) -> Column:
+        return F.bit_count(one.bitwiseXOR(two))
+
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    apart = sum(F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s1", "s2"))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (apart <= SKETCH_BITS)
+    sketches = sum(apart(F.col(f"{a}.{s}"), F.col(f"{b}.{s}")) for s in ("s1", "s2"))
+    bits = sum(apart(F.get(f"{a}.bits", F.lit(i)), F.get(f"{b}.bits", F.lit(i))) for i in range(BITMAP // 64))
+    return (
+        (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (sketches <= SKETCH_BITS)
+        & ((100 + PERCENT) * bits <= (100 - PERCENT) * (n + m))
+    )
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -194,28 +214,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked_classes(classes: DataFrame, docs: DataFrame, given: DataFrame) -> DataFrame:
     """``node, component`` of all representatives that have a link; ``given`` are links known before."""
-    sides = ["rep", "n_shingles", "s1", "s2"]
-    rows = classes.select(*sides, F.explode("bands").alias("band"))
+    rows = classes.select("rep", F.explode("bands").alias("band"))
     lead = rows.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last")
     lead = materialize(lead.select("band", "lead"), "dup-leaders")
     members = materialize(rows.join(lead, "band"), "dup-members")
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = materialize(texts, "dup-texts")
+    ids = materialize(members.select("rep").distinct(), "dup-ids")
+    sides = materialize(classes.drop("bands", "class").join(ids, "rep", "left_semi"), "dup-sides")
+    texts = materialize(docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "dup-texts")
 
-    leaders = members.where("rep = lead").select(*sides).distinct()
-    met = members.where("rep > lead").select(*sides, "lead").distinct().alias("m").join(
-        leaders.alias("l"), (F.col("m.lead") == F.col("l.rep")) & alike("m", "l")
-    )
-    pairs = materialize(met.select(F.col("l.rep").alias("a"), F.col("m.rep").alias("b")).distinct(), "dup-pairs")
+    pairs = members.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    met = pairs.join(sides.alias("l"), F.col("a") == F.col("l.rep")).join(sides.alias("m"), F.col("b") == F.col("m.rep"))
+    pairs = materialize(met.where(alike("l", "m")).select("a", "b").distinct(), "dup-pairs")
     links = materialize(given.unionAll(verified(pairs, texts)), "dup-links")
     found = materialize(components(links), "dup-components")
 
     placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        *sides, "band", F.coalesce("component", "rep").alias("component")
+        "rep", "band", F.coalesce("component", "rep").alias("component")
     )
     placed = materialize(placed, "dup-placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    still = materialize(placed.join(materialize(mixed.select("band"), "dup-mixed"), "band", "left_semi"), "dup-open")
+    still = placed.join(materialize(mixed.select("band"), "dup-mixed"), "band", "left_semi").join(sides, "rep")
+    still = materialize(still, "dup-open")
     met = still.alias("m").join(
         still.alias("l"),
         (F.col("m.band") == F.col("l.band")) & (F.col("m.component") > F.col("l.component")) & alike("m", "l"),
@@ -240,7 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = known.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     first = materialize(first, "dup-classes")
     member = known.join(first, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "class", "s1", "s2", "bands"
+        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "class", "s1", "s2", "bits", "bands"
     )
     classes = materialize(
         member.where("n_shingles > 0 and doc_id = rep").dropDuplicates(["rep", "class"]), "dup-representatives"
@@ -281,7 +300,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w FROM documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents),
 shingles AS (
   SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) END) AS s
