@@ -37,6 +37,8 @@ NUMBER_AT = r"[0-9](?<![\p{L}\p{N}.,/:][0-9])[0-9.,/:]*(?<=[0-9])(?i:" + UNITS +
 UNIT_AT = r"(?<=<num> )(?i:" + UNITS + r")(?![\p{L}\p{N}])"
 NAME_AT = r"\p{Lu}(?<=[\p{Ll}>,;:] \p{Lu})[\p{Ll}'-][\p{L}'-]*"
 NO_WORD = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
+#: Signs other than those of sentences and numbers; they go before names are looked for.
+CLUTTER = r"[^\p{L}\p{N}\x20\x09-\x0D.,;:!?'/<>-]+"
 NOISE = r"[^\p{L}\p{N}<>\x20\x09-\x0D]+"
 
 
@@ -44,13 +46,18 @@ def token_pair(text: Column) -> Column:
     """``canon`` and ``raw``, arrays of one length: tokens with placeholders, in lower case and without
     signs, and the same tokens as they stand in the text. Tokens without letters and digits are left out.
     """
-    shown = F.regexp_replace(F.translate(text, "<>", "  "), NO_WORD, "")
+    shown = plain(text)
     return let(shown, lambda t: F.struct(split_words(canonical(t)).alias("canon"), split_words(t).alias("raw")))
 
 
 def canon_tokens(text: Column) -> Column:
     """The first half of :func:`token_pair`."""
-    return split_words(canonical(F.regexp_replace(F.translate(text, "<>", "  "), NO_WORD, "")))
+    return split_words(canonical(plain(text)))
+
+
+def plain(text: Column) -> Column:
+    """``text`` without tokens that have neither letters nor digits, and without clutter in the others."""
+    return F.regexp_replace(F.regexp_replace(F.translate(text, "<>", "  "), NO_WORD, ""), CLUTTER, "")
 
 
 def canonical(text: Column) -> Column:
