@@ -123,8 +123,10 @@ def test_base_counts_equal_brute_force(spark, odd_rows, monkeypatch):
 
 
 def test_model_beats_counts_on_held_out_texts(spark):
-    vocabulary = words(11, 400)
-    rows = [(i, " ".join(random.Random(i).choices(vocabulary, k=60)), "en", "a") for i in range(700)]
+    """Half of the texts end their words in a sign; the word before tells which half it is."""
+    own = words(11, 400)
+    mark = lambda i: "!!" if i % 2 else ""
+    rows = [(i, " ".join(w + mark(i) for w in random.Random(i).choices(own, k=60)), "en", "a") for i in range(700)]
     held = [r for r in scored(spark, rows) if r.held_out]
     assert len(held) > 50 and sum(r.score for r in held) > sum(r.base_score for r in held)
 
