@@ -13,11 +13,25 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def exact_rounding(sql: str) -> str:
+    """``round_even(x, n)`` of the checks as correctly rounded text, which rounds the binary value of x."""
+    mark = "round_even("
+    while mark in sql:
+        start = sql.index(mark)
+        depth, end = 1, start + len(mark)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        value, digits = sql[start + len(mark) : end - 1].rsplit(",", 1)
+        sql = f"{sql[:start]}(CAST(printf('%.{int(digits)}f', CAST(({value}) AS DOUBLE)) AS DOUBLE) + 0.0){sql[end:]}"
+    return sql
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(query: Query) -> Query:
         QUERIES[name] = query
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = exact_rounding(sql)
         return query
 
     return add

@@ -56,6 +56,31 @@ records AS (
   FROM orders WHERE o_orderstatus <> 'P')"""
 
 
+@register("incident_leaf_values", """
+SELECT o_orderkey AS entity, o_orderdate::DATE AS published,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE greatest((o_orderkey % 100) / 10.0::DOUBLE,
+    (o_orderkey % 70) / 7.0::DOUBLE) END AS cvss,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'CVE-0' WHEN o_orderkey % 3 = 0 THEN 'CVE-0,CVE-3' ELSE
+    'CVE-0,CVE-3,CVE-' || CAST(o_orderkey AS VARCHAR) END AS cve_ids
+FROM orders""")
+def incident_leaf_values(spark, sf_dir):
+    """Records whose scores and further ids stand in their vulnerabilities only."""
+    key = F.col("o_orderkey")
+    leaves = F.array(
+        F.struct(((key % 100) / 10).alias("cvss_base_score"), F.lit(None).cast("string").alias("cvssScore"),
+                 F.lit("CVE-3").alias("cve_id"), F.lit("CVE-7").alias("cve")),
+        F.struct(F.lit(None).cast("double").alias("cvss_base_score"), ((key % 70) / 7).cast("string").alias("cvssScore"),
+                 F.lit("").alias("cve_id"),
+                 F.when(key % 3 > 0, F.concat(F.lit("CVE-"), key.cast("string"))).alias("cve")))
+    records = B.table(spark, sf_dir, "orders").select(
+        key.alias("plugin_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_date"),
+        F.lit(None).cast("double").alias("cvss"), F.array(F.lit(" CVE-0")).alias("cve_ids"),
+        F.when(key % 4 != 0, leaves).alias("vulnerabilities"),
+        F.struct(F.lit(None).cast("double").alias("max_cvss_base_score")).alias("severity_summary"))
+    rows = I.panel_incidents(records)
+    return rows.withColumn("cve_ids", F.array_join("cve_ids", ","))
+
+
 @register("incident_merge_flat", f"""WITH {_RECORDS}
 SELECT 'vendor' AS source, 'advisory' AS type, entity, advisory_id,
   COALESCE(arg_min(url, seq) FILTER (WHERE url LIKE 'https://www.vendor.example/%'),

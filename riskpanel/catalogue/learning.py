@@ -15,9 +15,6 @@ from riskpanel.plans.panel_build import labelled_panel
 from riskpanel.session import materialize
 
 LABEL = "label_advisory_within_6m"
-FAST = {"logistic": {"maxIter": 30}, "random_forest": {"numTrees": 10, "maxDepth": 5},
-        "xgboost": {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3},
-        "lightgbm": {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3}}
 
 
 def _rows(spark, sf_dir):
@@ -128,7 +125,7 @@ def _full(spark, sf_dir):
 
 
 def _train(spark, sf_dir, name):
-    return M.train_model(_full(spark, sf_dir), name, test_start=B.TEST_START, **FAST[name])
+    return M.train_model(_full(spark, sf_dir), name, test_start=B.TEST_START)
 
 
 def _metrics(spark, trained):
@@ -160,7 +157,7 @@ def drivers(spark, sf_dir):
     panel = _full(spark, sf_dir)
     columns = S.select_feature_columns(panel, LABEL)
     prepared = M.prepare(panel, LABEL, columns, strategy="time", test_start=B.TEST_START)
-    trained = M.fit_and_score(prepared, columns, "logistic", **FAST["logistic"])
+    trained = M.fit_and_score(prepared, columns, "logistic")
     return M.row_drivers(trained, prepared.where(F.col("split") == "test"))
 
 
@@ -169,23 +166,22 @@ def subset_study(spark, sf_dir):
     panel = _full(spark, sf_dir)
     columns = S.select_feature_columns(panel, LABEL)
     prepared = M.prepare(panel, LABEL, columns, strategy="time", test_start=B.TEST_START)
-    trained = M.fit_and_score(prepared, columns, "logistic", **FAST["logistic"])
-    return M.subset_study(spark, prepared, trained, sizes=(5, 15), **FAST["logistic"])
+    trained = M.fit_and_score(prepared, columns, "logistic")
+    return M.subset_study(spark, prepared, trained)
 
 
 @register("ablation_grid")
 def ablation_grid(spark, sf_dir):
     return M.ablation_grid(
-        spark, _full(spark, sf_dir), ["logistic"], ["advisory_only", "advisory_swh"],
-        ["time", "group_time"], B.TEST_START, settings=FAST)
+        spark, _full(spark, sf_dir), ["logistic"], list(M.FAMILIES), ["time", "group_time"], B.TEST_START)
 
 
 @register("embargo_backtest")
 def embargo_backtest(spark, sf_dir):
     panel = _full(spark, sf_dir)
     columns = S.select_feature_columns(panel, LABEL, prefixes=["advisory_"])
-    return M.embargo_backtest(spark, panel, columns, "logistic", B.TEST_START, ["1999-12"],
-                              **FAST["logistic"])
+    return M.embargo_backtest(spark, panel, columns, "logistic", B.TEST_START,
+                              ["1999-12", "1999-06", "1998-12"])
 
 
 @register("compare_ecosystems")
@@ -198,7 +194,7 @@ def compare_ecosystems(spark, sf_dir):
     panel = materialize(calendar_panel(grid, B.customer_incidents(spark, sf_dir)), "calendar")
     columns = ["advisory_count_to_date", "advisory_cve_count_to_date", "advisory_max_cvss_to_date"]
     prepared = M.prepare(panel, LABEL, columns, strategy="time", test_start=B.TEST_START)
-    return M.compare_models(spark, prepared, columns, ["logistic", "lightgbm"], FAST)
+    return M.compare_models(spark, prepared, columns, ["logistic"])
 
 
 @register("score_bundle")
@@ -208,7 +204,7 @@ def score_bundle(spark, sf_dir):
     panel = _full(spark, sf_dir)
     columns = S.select_feature_columns(panel, LABEL, prefixes=["advisory_", "advisories_", "swh_"])
     prepared = M.prepare(panel, LABEL, columns, strategy="time", test_start=B.TEST_START)
-    trained = M.fit_and_score(prepared, columns, "logistic", **FAST["logistic"])
+    trained = M.fit_and_score(prepared, columns, "logistic")
     others = [c for c in columns if not c.startswith(S.INCIDENT_PREFIXES)]
     medians = S.train_medians(prepared, others)
     return M.score_bundle(trained, medians, _bundle(spark, sf_dir), "2001-08-31")

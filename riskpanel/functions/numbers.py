@@ -52,8 +52,33 @@ def clip(value: Column, low: float | None = None, high: float | None = None) ->
 
 
 def half_even(value: Column, digits: int = 0) -> Column:
-    """Round half to even, the rule the published points were computed with."""
-    return F.bround(value, digits)
+    """Round the binary value to the nearest decimal, exact halves to even, as published numbers were.
+
+    ``bround`` rounds the shortest decimal text instead, which puts 0.00625 and 2.675 on the wrong side.
+    A double times a power of two is a whole number; from there on everything is whole-number arithmetic.
+    """
+
+    def rounded(x: Column) -> Column:
+        size = F.abs(x)
+        power = F.least(F.greatest(53 - F.floor(F.log2(size)), F.lit(0)), F.lit(93)).cast("int")
+        first = F.least(power, F.lit(62))
+        whole = (size * F.pow(F.lit(2.0), power)).cast("bigint").cast("decimal(20,0)")
+        scaled = (whole * F.lit(10**digits).cast("decimal(12,0)")).cast("decimal(38,0)")
+
+        def power_of_two(by: Column) -> Column:
+            return F.call_function("shiftleft", F.lit(1).cast("bigint"), by).cast("decimal(19,0)")
+
+        unit = (power_of_two(first) * power_of_two(power - first)).cast("decimal(38,0)")
+        rest = (scaled % unit).cast("decimal(38,0)")
+        down = ((scaled - rest) / unit).cast("bigint")
+        up = (rest * 2 > unit) | ((rest * 2 == unit) & (down % 2 == 1))
+        return F.signum(x) * (down + up.cast("bigint")).cast("double") / float(10**digits) + 0.0
+
+    def guarded(x: Column) -> Column:
+        plain = x.isNull() | F.isnan(x) | (x == 0) | (F.abs(x) >= 2.0**53 / 10**digits)
+        return F.when(plain, x + 0.0).otherwise(rounded(x))
+
+    return F.element_at(F.transform(F.array(value.cast("double")), guarded), 1)
 
 
 def as_flag(condition: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskpanel.functions import dates as D
@@ -92,8 +94,10 @@ def merge_vulnerabilities(records: DataFrame, order: str = "seq") -> DataFrame:
     def first(value: Column) -> Column:
         return _earliest(value, rank, _filled(value))
 
+    in_record = Window.partitionBy(*MERGE_KEYS, "seq", F.col("v.security_warning_id"))
+    repeated = with_copies.where(F.col("copies") > 1).withColumn("last", F.max("pos").over(in_record))
     merged = (
-        with_copies.where(F.col("copies") > 1)
+        repeated.where("pos = last")
         .groupBy(*MERGE_KEYS, F.col("v.security_warning_id").alias("sid"))
         .agg(
             *[first(v[c]).alias(c) for c in ("url_fragment", "severity_label")],
@@ -220,13 +224,32 @@ def incidents_from_pages(
 def panel_incidents(records: DataFrame, entity: str = "plugin_id") -> DataFrame:
     """Landed incident records as the panel input: entity, published, cvss, cve_ids.
 
-    Nested score structs do not count here; their score arrives through the summary.
+    Scores and ids may stand in the record, its summary or its vulnerabilities, under any of the names
+    that sources use; fields that the schema lacks are passed over. Nested score structs do not count
+    here; their score arrives through the summary.
     """
-    summary = F.array(F.col("severity_summary.max_cvss_base_score"))
+    summary = F.array(*[
+        F.col(f"severity_summary.{c}").cast("string")
+        for c in _flat_fields(records, "severity_summary", ("max_cvss_base_score", "cvss", "max_cvss"))])
+    scores = [
+        F.transform(F.col(f"vulnerabilities.{c}"), lambda x: x.cast("string"))
+        for c in _flat_fields(records, "vulnerabilities", ("cvss", "cvss_base_score", "cvssScore"))]
+    no_text = F.array().cast("array<string>")
+    leaf_scores = F.concat(no_text, *[F.coalesce(x, no_text) for x in scores])
+    names = _flat_fields(records, "vulnerabilities", ("cve_id", "cve"))
+    leaf_ids = F.transform("vulnerabilities", lambda v: F.coalesce(
+        *[F.when(v[c] != "", v[c]) for c in names])) if names else None
     return records.select(
         F.col(entity).alias("entity"), D.iso_date(F.col("published_date")).alias("published"),
-        S.flat_record_score(F.col("cvss"), summary).alias("cvss"),
-        S.record_cve_ids(F.col("cve_ids")).alias("cve_ids"))
+        S.flat_record_score(F.col("cvss"), summary, leaf_scores).alias("cvss"),
+        S.record_cve_ids(F.col("cve_ids"), leaf_ids).alias("cve_ids"))
+
+
+def _flat_fields(records: DataFrame, column: str, names: Sequence[str]) -> list[str]:
+    """Those of ``names`` that a struct column, or the structs of an array column, hold as plain values."""
+    kind = records.schema[column].dataType
+    kind = getattr(kind, "elementType", kind)
+    return [f.name for f in kind.fields if f.name in names and not hasattr(f.dataType, "fields")]
 
 
 def explode_osv(records: DataFrame, ecosystem: str, source: str, order: str = "seq") -> DataFrame:

@@ -25,14 +25,16 @@ from riskpanel.operators import splits as S
 from riskpanel.operators.bundle import align_to_model
 from riskpanel.session import materialize
 
-# --- fixed values: model settings ---
+# --- fixed values: model settings; 30 is the deepest tree that MLlib grows ---
 MODEL_DEFAULTS = {
     "logistic": {"maxIter": 2000},
     "random_forest": {
-        "numTrees": 500, "minInstancesPerNode": 5, "maxDepth": 20, "seed": 42,
+        "numTrees": 500, "minInstancesPerNode": 5, "maxDepth": 30, "seed": 42,
     },
-    "xgboost": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42},
-    "lightgbm": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42},
+    "xgboost": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
+                "featureSubsetStrategy": "0.8", "seed": 42},
+    "lightgbm": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
+                 "featureSubsetStrategy": "0.8", "seed": 42},
 }
 BOOST_POSITIVE_WEIGHT = 18.0
 FAMILIES = {
@@ -200,16 +202,16 @@ def global_importance(trained: Trained, test: DataFrame) -> list[tuple[str, floa
 
 def subset_study(
     spark: SparkSession, prepared: DataFrame, full: Trained, sizes: Sequence[int] = K.SUBSET_SIZES,
-    parallelism: int = 2, **settings,
+    parallelism: int = 2, rank_only: bool = False, **settings,
 ) -> DataFrame:
     """Average precision of the top-n feature subsets against the full model.
 
-    The full model is not fitted again, and a forest is only ranked, never refitted on subsets.
+    The full model is not fitted again. With ``rank_only`` subsets are not fitted either.
     """
     if not full.metrics:
         evaluate(full, prepared)
     ranked = [c for c, _ in global_importance(full, prepared.where(F.col("split") == "test"))]
-    wanted = [] if full.name == "random_forest" else [s for s in sizes if s <= len(ranked)]
+    wanted = [] if rank_only else [s for s in sizes if s <= len(ranked)]
     full_ap = full.metrics["average_precision"]
 
     def run(size: int) -> tuple:
@@ -280,15 +282,21 @@ def embargo_backtest(
 
 
 def row_drivers(trained: Trained, rows: DataFrame, n: int = 10) -> DataFrame:
-    """The n strongest linear contributions per row, with direction and rank."""
+    """The n strongest linear contributions per row, with direction and rank.
+
+    Trees have no signed contributions: their features rank by importance alone, without a direction.
+    """
     signed = coefficients(trained)
-    if signed is None:
-        signed = dict(zip(trained.columns, map(float, trained.model.featureImportances),
-                          strict=True))
+    weights = signed or dict(zip(
+        trained.columns, map(float, trained.model.featureImportances), strict=True))
+
+    def strength(c: str, v: float) -> Column:
+        return F.col(c) * v if signed else F.lit(v)
+
     parts = [
-        F.struct((-F.abs(F.col(c) * v)).alias("order"), F.lit(c).alias("feature"),
-                 (F.col(c) * v).alias("contribution"), F.col(c).alias("value"))
-        for c, v in signed.items() if c not in K.WINDOW_COLUMNS]
+        F.struct((-F.abs(strength(c, v))).alias("order"), F.lit(c).alias("feature"),
+                 strength(c, v).alias("contribution"), F.col(c).alias("value"))
+        for c, v in weights.items() if c not in K.WINDOW_COLUMNS]
     strongest = F.slice(F.array_sort(F.array(*parts)), 1, n)
     keys = [c for c in ("entity", "month") if c in rows.columns]
     exploded = rows.select(*keys, F.posexplode(strongest).alias("pos", "d"))
@@ -296,8 +304,8 @@ def row_drivers(trained: Trained, rows: DataFrame, n: int = 10) -> DataFrame:
     return exploded.select(
         *keys, (F.col("pos") + 1).alias("rank"), F.col("d.feature").alias("feature"),
         F.col("d.value").alias("value"), contribution.alias("contribution"),
-        F.when(contribution > 0, "increases_risk").when(contribution < 0, "decreases_risk")
-        .otherwise("neutral").alias("direction"))
+        (F.when(contribution > 0, "increases_risk").when(contribution < 0, "decreases_risk")
+         .otherwise("neutral") if signed else F.lit(None).cast("string")).alias("direction"))
 
 
 def score_bundle(trained: Trained, medians: DataFrame, bundle: DataFrame, as_of: str) -> DataFrame:

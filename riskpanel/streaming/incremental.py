@@ -73,10 +73,12 @@ def land_new_files(
 ):
     """Append the files that arrived since the last run to the month partitions.
 
-    The checkpoint remembers finished files, so a restarted run resumes instead of repeating.
+    The checkpoint remembers finished files. A batch that was written but not yet remembered comes again
+    under the same number after a crash; it lands in the partition of that number, which it replaces, so
+    every file is landed exactly once.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        write_months(batch, target, column=month_column)
+    def write(batch: DataFrame, number: int) -> None:
+        write_months(batch, f"{target}/landing_batch={number}", overwrite=True, column=month_column)
 
     stream = spark.readStream.schema(schema).format(fmt).load(source)
     return (

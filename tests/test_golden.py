@@ -45,7 +45,7 @@ def incident_rows(spark, *rows):
         [(e, day(d), c, ids) for e, d, c, ids in rows], INCIDENTS)
 
 
-TWO = (("demo", "2025-03-10", 5.0, ["CVE-2025-0001"]), ("demo", "2025-06-15", 8.0, ["CVE-2025-0002"]))
+TWO = (("demo", "2025-02-07", 4.0, ["CVE-2025-11"]), ("demo", "2025-05-21", 7.5, ["CVE-2025-12"]))
 
 
 def by_month(df):
@@ -53,26 +53,26 @@ def by_month(df):
 
 
 def test_to_date_features_of_two_incidents(spark):
-    grid = P.dense_grid(entities(spark, "demo", "quiet"), "2025-03", "2025-06")
+    grid = P.dense_grid(entities(spark, "demo", "quiet"), "2025-02", "2025-05")
     panel = P.incident_panel(grid, incident_rows(spark, *TWO))
     rows = by_month(panel.where("entity = 'demo'"))
-    april, june = rows["2025-04"], rows["2025-06"]
+    march, may = rows["2025-03"], rows["2025-05"]
     expected = {
         "advisory_count_to_date": 1, "advisory_cve_count_to_date": 1,
-        "advisory_max_cvss_to_date": 5.0, "advisory_days_since_first_to_date": 51,
-        "advisory_days_since_latest_to_date": 51, "advisory_span_days_to_date": 0,
+        "advisory_max_cvss_to_date": 4.0, "advisory_days_since_first_to_date": 52,
+        "advisory_days_since_latest_to_date": 52, "advisory_span_days_to_date": 0,
         "advisories_last_365d": 1, "advisory_cvss_ge_7_count_to_date": 0,
-        "advisory_mean_cvss_to_date": 5.0, "advisory_count_this_month": 0,
+        "advisory_mean_cvss_to_date": 4.0, "advisory_count_this_month": 0,
     }
-    assert {k: april[k] for k in expected} == expected
+    assert {k: march[k] for k in expected} == expected
     expected = {
         "advisory_count_to_date": 2, "advisory_count_this_month": 1,
-        "advisory_max_cvss_to_date": 8.0, "advisory_days_since_first_to_date": 112,
-        "advisory_days_since_latest_to_date": 15, "advisory_span_days_to_date": 97,
-        "advisory_cvss_ge_7_count_to_date": 1, "advisory_mean_cvss_to_date": 6.5,
+        "advisory_max_cvss_to_date": 7.5, "advisory_days_since_first_to_date": 113,
+        "advisory_days_since_latest_to_date": 10, "advisory_span_days_to_date": 103,
+        "advisory_cvss_ge_7_count_to_date": 1, "advisory_mean_cvss_to_date": 5.75,
     }
-    assert {k: june[k] for k in expected} == expected
-    quiet = by_month(panel.where("entity = 'quiet'"))["2025-06"]
+    assert {k: may[k] for k in expected} == expected
+    quiet = by_month(panel.where("entity = 'quiet'"))["2025-05"]
     assert quiet["advisory_count_to_date"] == 0 and quiet["advisories_present_any"] is False
     for absent in ("advisories_last_365d", "advisory_cvss_ge_7_count_to_date",
                    "advisory_mean_cvss_to_date", "advisory_span_days_to_date"):
@@ -80,9 +80,9 @@ def test_to_date_features_of_two_incidents(spark):
 
 
 def test_history_before_the_grid_counts(spark):
-    grid = P.dense_grid(entities(spark, "demo"), "2025-05", "2025-06")
+    grid = P.dense_grid(entities(spark, "demo"), "2025-04", "2025-05")
     rows = by_month(P.incident_panel(grid, incident_rows(spark, *TWO)))
-    assert rows["2025-05"]["advisory_count_to_date"] == 1
+    assert rows["2025-04"]["advisory_count_to_date"] == 1
     assert len(rows) == 2
 
 
@@ -149,12 +149,12 @@ def test_label_input_aliases(spark):
 
 
 def test_calendar_variant_is_strict_and_uncensored(spark):
-    grid = P.dense_grid(entities(spark, "demo"), "2025-03", "2025-06")
+    grid = P.dense_grid(entities(spark, "demo"), "2025-02", "2025-05")
     rows = by_month(L.calendar_panel(grid, incident_rows(spark, *TWO), (1, 3)))
-    assert rows["2025-03"]["advisory_count_to_date"] == 0
-    assert rows["2025-04"]["advisory_count_to_date"] == 1
-    assert rows["2025-06"]["label_advisory_within_3m"] == 0
-    assert rows["2025-03"]["label_advisory_within_3m"] == 1
+    assert rows["2025-02"]["advisory_count_to_date"] == 0
+    assert rows["2025-03"]["advisory_count_to_date"] == 1
+    assert rows["2025-05"]["label_advisory_within_3m"] == 0
+    assert rows["2025-02"]["label_advisory_within_3m"] == 1
 
 
 EVENT = (
@@ -276,6 +276,38 @@ def test_late_night_uses_floored_offsets(spark):
     assert value(spark, D.is_weekend(F.lit("2025-05-05").cast("date"))) is False
 
 
+def test_rounding_is_that_of_the_binary_value(spark):
+    rows = [(a / n,) for n in range(1, 401) for a in range(n + 1)]
+    rows += [(x,) for x in (-0.00625, 2.675, 12.345, 1e-9, 123456789.125, 0.5, 1.5, -2.5, 1e15 + 0.3)]
+    df = spark.createDataFrame(rows, "x DOUBLE")
+    for digits in (0, 2, 4, 5):
+        for row in df.select("x", N.half_even(F.col("x"), digits).alias("r")).collect():
+            assert row["r"] == round(row["x"], digits), (row, digits)
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (0.0,)], "x DOUBLE")
+    assert [str(r[0]) for r in odd.select(N.half_even(F.col("x"), 2)).collect()] == ["None", "nan", "inf", "0.0"]
+
+
+def test_scores_and_ids_of_vulnerabilities_count(spark):
+    schema = ("plugin_id STRING, published_date STRING, cvss DOUBLE, cve_ids ARRAY<STRING>, "
+              "vulnerabilities ARRAY<STRUCT<cvss_base_score DOUBLE, cvssScore STRING, cve_id STRING, cve STRING>>, "
+              "severity_summary STRUCT<max_cvss DOUBLE>")
+    records = [("p", "2025-04-02", None, None, [(6.1, "8.3", "", " CVE-2 "), (None, "n/a", "CVE-1", "CVE-9")], None),
+               ("q", "2025-04-02", 3.0, ["CVE-5"], None, (4.5,)), ("r", "2025-04-02", None, None, None, None)]
+    got = {r["entity"]: r for r in I.panel_incidents(spark.createDataFrame(records, schema)).collect()}
+    assert got["p"]["cvss"] == 8.3 and got["p"]["cve_ids"] == ["CVE-2", "CVE-1"]
+    assert got["q"]["cvss"] == 4.5 and got["q"]["cve_ids"] == ["CVE-5"]
+    assert got["r"]["cvss"] is None and got["r"]["cve_ids"] == []
+
+
+def test_last_entry_of_an_id_within_a_record_counts(spark):
+    entry = "STRUCT<security_warning_id STRING, url_fragment STRING, severity_label STRING, severity_source STRING, cvss STRUCT<version STRING, vector STRING, base_score DOUBLE, url STRING>>"
+    rows = [("s", "advisory", "e", "a", 1, [("A", None, "high", "x", None), ("A", None, None, "y", None)]),
+            ("s", "advisory", "e", "a", 2, [("A", None, "low", "z", None)])]
+    records = spark.createDataFrame(rows, f"source STRING, type STRING, entity STRING, advisory_id STRING, seq INT, vulnerabilities ARRAY<{entry}>")
+    got = I.merge_vulnerabilities(records).first()["vulnerabilities"]
+    assert [(v["security_warning_id"], v["severity_label"], v["severity_source"]) for v in got] == [("A", "low", "y")]
+
+
 def test_half_even_and_clip(spark):
     assert value(spark, N.half_even(F.lit(2.5))) == 2.0
     assert value(spark, N.clip(F.lit(None).cast("double"), 0.0, 1.0)) is None
