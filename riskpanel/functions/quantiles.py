@@ -12,13 +12,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_OCTAVE = 64
+#: Values of one bucket differ by less than 0.04 %, at any size. A group whose values span o octaves
+#: has 2,048 * o buckets at most, which is what one task puts in order.
+BUCKETS_PER_OCTAVE = 2048
+SMALLEST_OCTAVE, LARGEST_OCTAVE = 1100, 1100.0
 
 
 def _bucket(value: Column) -> Column:
-    """Order-preserving coarse key: a few thousand buckets cover every double."""
-    size = F.floor(F.log2(F.abs(value) + 1.0) * BUCKETS_PER_OCTAVE)
-    return F.when(value < 0, -size).otherwise(size)
+    """Order-preserving coarse key on a logarithmic scale that small fractions share with large numbers."""
+    octave = F.least(F.log2(F.abs(value)), F.lit(LARGEST_OCTAVE)) + SMALLEST_OCTAVE
+    size = F.floor(octave * BUCKETS_PER_OCTAVE)
+    return F.when(value == 0, F.lit(0)).when(value < 0, -size).otherwise(size).cast("long")
 
 
 def values_at_ranks(

@@ -299,6 +299,20 @@ def test_scores_and_ids_of_vulnerabilities_count(spark):
     assert got["r"]["cvss"] is None and got["r"]["cve_ids"] == []
 
 
+def test_quantile_buckets_stay_small(spark):
+    """Small fractions spread over buckets, signs keep their order, and the quantile stays exact."""
+    from riskpanel.functions.quantiles import _bucket
+
+    df = spark.range(1_000_000).select((F.col("id") * 1e-9).alias("v"))
+    largest = df.groupBy(_bucket(F.col("v")).alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest <= 1_000
+    assert exact_quantiles(df, [], F.col("v"), {"m": 0.5}).first()["m"] == pytest.approx(499_999.5e-9)
+    odd = [-1e300, -2.5, -1e-9, 0.0, 5e-324, 1e-9, 2.5, 1.7e9, 1.71e9, float("inf"), float("nan")]
+    keys = [r["b"] for r in spark.createDataFrame([(x,) for x in odd], "v DOUBLE").select(
+        _bucket(F.col("v")).alias("b")).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == len(odd) - 1
+
+
 def test_last_entry_of_an_id_within_a_record_counts(spark):
     entry = "STRUCT<security_warning_id STRING, url_fragment STRING, severity_label STRING, severity_source STRING, cvss STRUCT<version STRING, vector STRING, base_score DOUBLE, url STRING>>"
     rows = [("s", "advisory", "e", "a", 1, [("A", None, "high", "x", None), ("A", None, None, "y", None)]),
