@@ -86,10 +86,6 @@ def as_flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def count_true(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
 def risk_tier(probability: Column) -> Column:
     return (
         F.when(probability < 0.05, "Low").when(probability < 0.20, "Medium")

@@ -41,9 +41,14 @@ def bundle_summary(bundle: DataFrame) -> DataFrame:
         *[F.count_if(F.col(c)).alias(k) for k, c in families.items() if c in bundle.columns])
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines with sorted keys; null fields are kept."""
-    df.select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", False).json(path)
+def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows of each written file in the given order."""
+    return df.sortWithinPartitions(*order) if order else df
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", order: Sequence[str] = ()) -> None:
+    """JSON lines with sorted keys; null fields are kept. ``order`` sorts the rows of each file."""
+    in_order(df, order).select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def _csv_scalar(name: str, kind: str) -> Column:
@@ -51,25 +56,25 @@ def _csv_scalar(name: str, kind: str) -> Column:
     return (F.to_json(F.col(name)) if nested else F.col(name)).alias(name)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a sorted header; nested values become JSON text."""
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", order: Sequence[str] = ()) -> None:
+    """CSV with a sorted header; nested values become JSON text. ``order`` sorts the rows of each file."""
     kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
-    df.select(*[_csv_scalar(c, kinds[c]) for c in sorted(df.columns)]).write.mode(mode).option(
+    in_order(df, order).select(*[_csv_scalar(c, kinds[c]) for c in sorted(df.columns)]).write.mode(mode).option(
         "header", True).option("escape", '"').csv(path)
 
 
 def write_predictions(df: DataFrame, path: str, key: str = "plugin_id") -> None:
-    """Prediction table sink: key, month, y_true, y_prob."""
-    df.select(F.col("entity").alias(key), "month", "y_true", "y_prob").write.mode(
+    """Prediction table sink: key, month, y_true, y_prob; each file by month and key."""
+    in_order(df, ("month", "entity")).select(F.col("entity").alias(key), "month", "y_true", "y_prob").write.mode(
         "overwrite").option("header", True).csv(path)
 
 
 def write_partitioned(
     df: DataFrame, path: str, columns: Sequence[str], mode: str = "overwrite", fmt: str = "parquet"
 ) -> None:
-    """One directory per key. Rows of one key may come from many tasks, so a key that holds a
-    large share of all rows is written by many tasks as several files."""
-    df.write.mode(mode).partitionBy(*columns).format(fmt).save(path)
+    """One directory per key. Rows are rebalanced by key: small keys share a task, and a key that holds
+    a large share of all rows is written by many tasks as several files."""
+    df.hint("rebalance", *columns).write.mode(mode).partitionBy(*columns).format(fmt).save(path)
 
 
 def write_months(df: DataFrame, path: str, overwrite: bool = False,

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskpanel.operators.archive import upsert
 from riskpanel.sources.writers import write_months
 
 
@@ -85,11 +82,3 @@ def land_new_files(
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
-
-
-def merge_visits(
-    existing: DataFrame, incoming: DataFrame, target: str, order: str,
-    keys: Sequence[str] = ("repo_url", "snapshot_id", "visit", "visit_date"),
-) -> None:
-    """Merge new visits into the stored ones and write the result to a fresh location."""
-    upsert(existing, incoming, keys, order).write.mode("errorifexists").parquet(target)

@@ -67,6 +67,9 @@ def test_best_file_per_entity(spark):
     named = {r["entity"]: r["file_name"] for r in
              readers.best_files(files, candidates=candidates).collect()}
     assert named == {"n": "old.advisories.real.jsonl", "a": "a.advisories.real.jsonl"}
+    listing = spark.createDataFrame([("b.advisories.real.jsonl",), ("b.advisories.sample.jsonl",)], "file_name STRING")
+    rows = spark.createDataFrame([("b.advisories.sample.jsonl", 1)], "file_name STRING, x INT")
+    assert readers.best_files(rows, listing=listing).count() == 0 and readers.best_files(rows).count() == 1
 
 
 def test_empty_day_range_is_an_error(spark, tmp_path):
