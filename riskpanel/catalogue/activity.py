@@ -291,11 +291,20 @@ def sharded_scan(spark, sf_dir):
                                      F.min("event_id").alias("first_event"))
 
 
-@register("sampled_scan")
+_RAW_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _RAW_KINDS.items())
+_SCANNED = ", ".join(f"'{t}'" for t in K.EVENT_TYPES)
+
+
+@register("sampled_scan", f"""
+WITH e AS (SELECT CASE event_type {_RAW_CASE} END AS event_type FROM events
+  WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'
+    AND substr(sha256('7:' || CAST(event_id AS VARCHAR)), 1, 16) < '3333333333333333')
+SELECT event_type, 20.0::DOUBLE AS sample_percent, count(*) AS n_events FROM e
+WHERE event_type IN ({_SCANNED}) GROUP BY ALL""")
 def sampled_scan(spark, sf_dir):
     raw = _raw_events(spark, sf_dir)
     users = raw.select(F.col("repo").alias("repo_full_name")).distinct()
-    events = A.scan_events(raw, users, "20240101", "20240131", sample_percent=20.0, seed=7)
+    events = A.scan_events(raw, users, "20240101", "20240131", sample_percent=20.0, seed=7, sample_key="event_id")
     return events.groupBy("event_type", "sample_percent").agg(F.count(F.lit(1)).alias("n_events"))
 
 

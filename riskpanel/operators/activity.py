@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskpanel import constants as K
 from riskpanel.functions import dates as D
+from riskpanel.functions import numbers as N
 from riskpanel.functions import text as T
 from riskpanel.functions import urls as U
 from riskpanel.functions.quantiles import exact_quantiles
@@ -27,17 +28,23 @@ def scan_events(
     day_column: str = "day",
     sample_percent: float = 100.0,
     seed: int | None = None,
+    sample_key: str | None = None,
 ) -> DataFrame:
     """Events of the wanted repositories and types in a day range, payload fields extracted.
 
     ``raw`` is partitioned by day, so the range prunes partitions. ``repos`` holds one
     repo_full_name per row; Spark broadcasts it only while it is below the session threshold.
+    A sample by ``sample_key`` is the same whatever the files and partitions; without it rows are drawn.
     """
     if not 0 < sample_percent <= 100:
         raise ValueError("sample_percent must be > 0 and <= 100")
     ranged = raw.where(F.col(day_column).between(first_day, last_day))
     if sample_percent < 100:
-        ranged = ranged.sample(sample_percent / 100.0, seed=seed)
+        share = sample_percent / 100.0
+        if sample_key is None:
+            ranged = ranged.sample(share, seed=seed)
+        else:
+            ranged = ranged.where(N.stable_bucket(F.col(sample_key), seed or 0) < share)
     wanted = repos.select(F.col("repo_full_name").alias("repo")).distinct()
     kept = ranged.where(F.col("event_type").isin(*K.EVENT_TYPES)).join(wanted, "repo", "left_semi")
     p = F.from_json("payload", PAYLOAD_SCHEMA)
