@@ -105,8 +105,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         slots(F.col("pair"), F.col("at"), F.col("size")).alias("slots"),
     )
     own = Window.partitionBy("item_id")
-    plain = F.size("slots") * 2 <= F.col("size")
-    cut = cut.withColumn("best", F.max(plain).over(own)).where(plain | ~F.col("best"))
+    telling = F.size("slots") * 2 <= F.col("size")
+    cut = cut.withColumn("best", F.max(telling).over(own)).where(telling | ~F.col("best"))
     return cut.withColumn("n_windows", F.size(F.collect_set("hash").over(own))).drop("best")
 
 
@@ -165,12 +165,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id")
     candidates = materialize(counted.where(F.col("found") >= need), "leak-candidates")
     slotted = items.where(F.size("slots") > 0).select("item_id").distinct()
     asked = materialize(candidates.join(slotted, "item_id", "left_semi"), "leak-slotted")
-    plain = candidates.join(slotted, "item_id", "left_anti")
+    fixed = candidates.join(slotted, "item_id", "left_anti")
     if asked.isEmpty():
-        good = plain
+        good = fixed
     else:
         agreed = materialize(consistent(texts, asked, items, sizes), "leak-agreed")
-        good = plain.unionByName(asked.join(agreed, ["key", "item_id"], "left_semi").select(*plain.columns))
+        good = fixed.unionByName(asked.join(agreed, ["key", "item_id"], "left_semi").select(*fixed.columns))
     return good.groupBy("doc_id", "item_id").agg(
         F.max("found").cast("long").alias("n_windows"), F.max("n_windows").cast("long").alias("item_windows")
     )
