@@ -5,7 +5,8 @@ Numbers, units and names of documents and benchmark items become typed placehold
 tokens in a row), or all of a shorter item's, is a candidate. Its slots then must be consistent: what
 stands for one value of the item is one value in the document, for ``CONSISTENT`` of the item's slot
 values at least. So a question with other numbers, names or units is caught, and texts that share its
-form by chance are not.
+form by chance are not. Windows without slots, and those with the item's own values, agree as they stand: as
+many of them as make a candidate are a leak, whatever the slots elsewhere say.
 
 Everything is column expressions and joins. The windows of documents are never shuffled: windows of the
 benchmark are broadcast if they are at most ``BROADCAST_WINDOWS`` (8 bytes and an item number each),
@@ -110,10 +111,12 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return cut.withColumn("n_windows", F.size(F.collect_set("hash").over(own))).drop("best")
 
 
-def consistent(docs: DataFrame, candidates: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
-    """``key, item_id`` of candidates whose slots agree in one place of the document at least.
+def slot_evidence(docs: DataFrame, candidates: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """``key, item_id, agreement, equal`` of candidates that meet a window with slots.
 
-    Windows of one place lie on one diagonal: position in the document less position in the item.
+    ``agreement`` is the share of slot values that agree in the best place; windows of one place lie on
+    one diagonal: position in the document less position in the item. ``equal`` are the different windows
+    whose slots have the item's values.
     """
     keys = candidates.select("key").distinct()
     pair = docs.join(keys, "key", "left_semi").select("key", token_pair(F.col("text")).alias("pair"))
@@ -128,14 +131,16 @@ def consistent(docs: DataFrame, candidates: DataFrame, items: DataFrame, sizes:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    met = rows.where(F.size("own") > 0).join(items.where(F.size("slots") > 0), "hash").select(
-        "key", "item_id", (F.col("place") - F.col("at")).alias("diagonal"), F.explode(F.arrays_zip("slots", "own")).alias("s")
-    )
-    values = met.groupBy("key", "item_id", "diagonal", "s.slots.kind", "s.slots.value").agg(
-        (F.count_distinct("s.own.value") == 1).cast("double").alias("agrees")
-    )
+    met = materialize(rows.where(F.size("own") > 0).join(items.where(F.size("slots") > 0), "hash").join(
+        candidates.select("key", "item_id").distinct(), ["key", "item_id"], "left_semi"
+    ).select("key", "item_id", "hash", (F.col("place") - F.col("at")).alias("diagonal"), "slots", "own"), "leak-slots")
+    values = met.select("key", "item_id", "diagonal", F.explode(F.arrays_zip("slots", "own")).alias("s")).groupBy(
+        "key", "item_id", "diagonal", "s.slots.kind", "s.slots.value"
+    ).agg((F.count_distinct("s.own.value") == 1).cast("double").alias("agrees"))
     places = values.groupBy("key", "item_id", "diagonal").agg(F.avg("agrees").alias("agreement"))
-    return places.groupBy("key", "item_id").agg(F.max("agreement").alias("agreement")).where(F.col("agreement") >= CONSISTENT)
+    best = places.groupBy("key", "item_id").agg(F.max("agreement").alias("agreement"))
+    equal = met.where(F.col("slots") == F.col("own")).groupBy("key", "item_id").agg(F.count_distinct("hash").alias("equal"))
+    return best.join(equal, ["key", "item_id"], "left")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
@@ -155,22 +160,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id")
         return texts.select("doc_id").limit(0).join(none, F.lit(False)).select(
             "doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.col("item_windows").cast("long")
         )
-    known = items.select("hash", "item_id", "n_windows").distinct()
+    known = items.select("hash", "item_id", "n_windows", (F.size("slots") == 0).alias("bare")).distinct()
     if items.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     hashes = let(canon_tokens(F.col("text")), lambda w: F.array_distinct(F.concat(*[windows(w, size) for size in sizes])))
     met = texts.select("doc_id", "key", F.explode(hashes).alias("hash")).join(known, "hash")
-    counted = met.groupBy("doc_id", "key", "item_id", "n_windows").agg(F.count_distinct("hash").alias("found"))
+    counted = met.groupBy("doc_id", "key", "item_id", "n_windows").agg(
+        F.count_distinct("hash").alias("found"), F.count_distinct(F.when(F.col("bare"), F.col("hash"))).alias("bare")
+    )
     need = F.least(F.lit(RUN), F.greatest(F.col("n_windows") - 1, F.lit(1)))
     candidates = materialize(counted.where(F.col("found") >= need), "leak-candidates")
-    slotted = items.where(F.size("slots") > 0).select("item_id").distinct()
-    asked = materialize(candidates.join(slotted, "item_id", "left_semi"), "leak-slotted")
-    fixed = candidates.join(slotted, "item_id", "left_anti")
+    verbatim = candidates.where(F.col("bare") >= need)
+    asked = candidates.where(F.col("bare") < need)
     if asked.isEmpty():
-        good = fixed
+        good = verbatim
     else:
-        agreed = materialize(consistent(texts, asked, items, sizes), "leak-agreed")
-        good = fixed.unionByName(asked.join(agreed, ["key", "item_id"], "left_semi").select(*fixed.columns))
+        told = materialize(slot_evidence(texts, asked, items, sizes), "leak-evidence")
+        kept = (F.col("agreement") >= CONSISTENT) | (F.col("bare") + F.coalesce("equal", F.lit(0)) >= need)
+        good = verbatim.unionByName(asked.join(told, ["key", "item_id"]).where(kept).select(*candidates.columns))
     return good.groupBy("doc_id", "item_id").agg(
         F.max("found").cast("long").alias("n_windows"), F.max("n_windows").cast("long").alias("item_windows")
     )

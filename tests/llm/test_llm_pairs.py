@@ -128,6 +128,21 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert leaks(spark, [same, mixed], [(1, item)]) == [(0, 1)]
 
 
+def test_quotations_without_the_slots_of_an_item(spark):
+    """The part of an item that has no slots, and a passage with the item's own values beside others."""
+    tail = " ".join(words(6, 30))
+    item = "so it goes that Anna met Boris and Anna saw Boris and then Anna told Boris what Anna and Boris had done, " + tail
+    names = iter("Aaron Betty Carla Denis Edgar Fiona Georg Hilda Inger Jonas".split())
+    mixed = " ".join(next(names) if w in ("Anna", "Boris") else w for w in item.split()[:20])
+    lead, few = "a text that quotes ", " ".join(tail.split()[:12])
+    inside = [lead + tail, mixed + " " + tail, mixed.replace("Aaron met Betty and Carla saw Denis", "Anna met Boris and Anna saw Boris")]
+    assert leaks(spark, [*inside, lead + few, mixed + " but " + few], [(1, item)]) == [(0, 1), (1, 1), (2, 1)]
+    item = "It was 7 kg, " + tail
+    docs = frame(spark, [(i, t, None, None) for i, t in enumerate([lead + tail, lead])])
+    kept = decontaminate.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [1]
+
+
 def test_leaks_leave_and_the_rest_stays(spark, odd_docs, odd_rows):
     text = next(t for i, t, *_ in odd_rows if i == 4)
     benchmark = spark.createDataFrame([(1, " ".join(text.split()[20:50]))], "item_id long, text string")
