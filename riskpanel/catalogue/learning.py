@@ -173,7 +173,7 @@ def subset_study(spark, sf_dir):
 @register("ablation_grid")
 def ablation_grid(spark, sf_dir):
     return M.ablation_grid(
-        spark, _full(spark, sf_dir), ["logistic"], list(M.FAMILIES), ["time", "group_time"], B.TEST_START)
+        spark, _full(spark, sf_dir), list(M.MODEL_DEFAULTS), list(M.FAMILIES), ["time", "group_time"], B.TEST_START)
 
 
 @register("embargo_backtest")
@@ -194,7 +194,7 @@ def compare_ecosystems(spark, sf_dir):
     panel = materialize(calendar_panel(grid, B.customer_incidents(spark, sf_dir)), "calendar")
     columns = ["advisory_count_to_date", "advisory_cve_count_to_date", "advisory_max_cvss_to_date"]
     prepared = M.prepare(panel, LABEL, columns, strategy="time", test_start=B.TEST_START)
-    return M.compare_models(spark, prepared, columns, ["logistic"])
+    return M.compare_models(spark, prepared, columns, list(M.MODEL_DEFAULTS))
 
 
 @register("score_bundle")

@@ -29,6 +29,18 @@ def test_fitted_model_has_rows_and_metrics(spark):
     assert (row["average_precision"] is None) == (row["test_positive_count"] == 0)
 
 
+def test_comparisons_fit_every_model(spark, monkeypatch):
+    from riskpanel.plans import training as M
+
+    asked = {}
+    monkeypatch.setattr(M, "compare_models", lambda _, prepared, columns, models: asked.update(compared=models))
+    monkeypatch.setattr(M, "ablation_grid", lambda _, panel, models, families, splits, start: asked.update(
+        cells={(m, f, s) for m in models for f in families for s in splits}))
+    catalogue.QUERIES["compare_ecosystems"](spark, SF_DIR)
+    catalogue.QUERIES["ablation_grid"](spark, SF_DIR)
+    assert sorted(asked["compared"]) == sorted(M.MODEL_DEFAULTS) and len(asked["cells"]) == 64
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
