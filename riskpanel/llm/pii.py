@@ -1,14 +1,14 @@
 """Personal data: fixed patterns, and terms that disclose a protected entity.
 
 The entities are the values the patterns find. Terms are runs of four or more letters and digits. For
-each term t within ``REACH`` characters of a mention of entity e the corpus gives the share of e's
-information that t reveals: log2(P(e|t) / P(e)) / log2(1 / P(e)), from document frequencies over all
-documents. Pairs that reach ``GENERALISE`` and occur in ``SUPPORT`` different texts mark the term
-wherever it stands near that entity; from ``REMOVE`` on the term is to be removed, not generalised.
-
-Everything is DataFrame operations. Texts are read twice: for mentions with their neighbourhood, which
-are small, and for document frequencies, which are summed before they are shuffled. Exact copies of a
-text are one row with a weight before its neighbourhoods are unfolded.
+each term t that shares a text with entity e the corpus gives the share of e's information that t
+reveals: log2(P(e|t) / P(e)) / log2(1 / P(e)), from document frequencies over all documents. Pairs that
+reach ``GENERALISE`` and occur in ``SUPPORT`` different texts mark the term wherever it stands, also in
+texts that do not write the entity out; from ``REMOVE`` on the term is to be removed, not generalised.
+
+Everything is DataFrame operations. Document frequencies are summed before they are shuffled. Exact copies
+of a text are one row with a weight before terms meet entities, and entities of fewer than ``SUPPORT``
+texts go before, which loses no pair. Positions of terms are looked for in texts that hold one only.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ LOOSE_SEPARATOR = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 TERM = r"[\p{L}\p{N}]{4,}"
-REACH = 64
+NO_TERM = r"[^\p{L}\p{N}\uE000]+"
+#: Stands for what a span covers, so that a term that touches a span is not taken for a whole one.
+COVER = "\uE000"
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 SPAN = "array<struct<place:int,start:int,end:int,kind:string,value:string>>"
@@ -77,88 +79,110 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def nearby(text: Column, spans: Column) -> Column:
-    """For each span its entity and the whole terms within reach that no span overlaps."""
+def terms_of(text: Column) -> Column:
+    """The different terms of ``text`` in lower case, without those that ``COVER`` touches."""
+    whole = F.filter(F.split(text, NO_TERM, -1), lambda w: (F.length(w) >= 4) & ~F.contains(w, F.lit(COVER)))
+    return F.array_distinct(F.transform(whole, F.lower))
 
-    def terms(s: Column, first: Column, size: Column) -> Column:
-        """Terms of the ``size`` characters from ``first`` on, none that the cut goes through."""
-        wider = F.substring(text, first, size + 2)
-        free = lambda w: ~F.exists(spans, lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"]))
-        inside = F.filter(matches(wider, TERM), lambda m: ((m["start"] > 0) | (first == 1)) & (m["end"] < size + 2))
-        placed = F.transform(inside, lambda m: F.struct(
-            (m["start"] + first - 1).alias("start"), (m["end"] + first - 1).alias("end"), F.lower(m["text"]).alias("term")
-        ))
-        return F.filter(placed, free)
 
-    def one(s: Column) -> Column:
-        left = F.greatest(s["start"] - REACH, F.lit(1))
-        both = F.concat(
-            F.filter(terms(s, left, s["start"] - left + 1), lambda w: w["end"] <= s["start"]),
-            F.filter(terms(s, s["end"], F.lit(REACH)), lambda w: w["start"] >= s["end"]),
-        )
-        return F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("entity"), both.alias("terms"))
+def uncovered(text: Column) -> Column:
+    """``text`` with blanks for its own ``COVER`` signs."""
+    return F.translate(text, COVER, " ")
 
-    return F.transform(spans, one)
+
+def all_spans(found: Column) -> Column:
+    return F.concat(*[found[k] for k in KINDS[:4]])
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, found, near``: spans by kind and the neighbourhoods of all, for each row, written once."""
+    """``doc_id, key, found, entities, terms``: spans by kind for each row, and for rows with spans their
+    entities and the terms that no span overlaps; written once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(
         "doc_id", text.alias("text"), F.struct(*[s.alias(k) for k, s in base_spans(text).items()]).alias("found")
     )
-    spans = F.concat(*[F.col("found")[k] for k in KINDS[:4]])
-    near = let(F.struct(spans.alias("spans"), F.col("text").alias("text")), lambda b: F.when(
-        F.size(b["spans"]) > 0, nearby(b["text"], b["spans"])))
-    return materialize(
-        found.select("doc_id", F.when(F.size(spans) > 0, F.md5(F.col("text").cast("binary"))).alias("key"), "found", near.alias("near")),
-        "pii-mentions",
-    )
+    spans = all_spans(F.col("found"))
+    covers = F.array_sort(F.transform(
+        spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(COVER).alias("mark"))
+    ))
+    entities = F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    has = F.size(spans) > 0
+    return materialize(found.select(
+        "doc_id", F.md5(F.col("text").cast("binary")).alias("key"), "found", F.when(has, entities).alias("entities"),
+        F.when(has, terms_of(replace_spans(uncovered(F.col("text")), covers))).alias("terms"),
+    ), "pii-mentions")
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``key, start, end, term, disclosed``: places of terms that give an entity near them away."""
-    texts = found.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.first("near").alias("near"))
-    places = texts.select("key", "copies", F.explode("near").alias("n")).select(
-        "key", "copies", F.col("n.entity").alias("entity"), F.explode("n.terms").alias("t")
-    ).select("key", "copies", "entity", "t.*")
-    places = materialize(places, "pii-places")
-    entities = (
-        texts.select("copies", F.explode(F.array_distinct(F.col("near.entity"))).alias("entity"))
-        .groupBy("entity").agg(F.sum("copies").alias("entity_docs"))
+    """``term, disclosed``: terms that give an entity away, with the largest share of one."""
+    texts = materialize(found.where("entities is not null").groupBy("key").agg(
+        F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")
+    ), "pii-texts")
+    written = texts.select("key", "copies", F.explode("entities").alias("entity"))
+    entities = materialize(
+        written.groupBy("entity").agg(F.sum("copies").alias("entity_docs"), F.count("*").alias("texts"))
+        .where(F.col("texts") >= SUPPORT).drop("texts"), "pii-entities"
     )
+    often = written.join(entities, "entity", "left_semi").groupBy("key").agg(F.collect_list("entity").alias("often"))
     pairs = (
-        places.select("key", "copies", "entity", "term").distinct()
+        texts.select("key", "copies", "terms").join(often, "key")
+        .select("copies", "often", F.explode("terms").alias("term"))
+        .select("copies", "term", F.explode("often").alias("entity"))
         .groupBy("entity", "term").agg(F.sum("copies").alias("pair_docs"), F.count("*").alias("texts"))
         .where(F.col("texts") >= SUPPORT)
     )
-    words = F.array_distinct(F.filter(
-        F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1), lambda w: F.length(w) >= 4
-    ))
-    corpus = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
     whole = docs.select(F.count("*").alias("all_docs"))
+    corpus = docs.select(F.explode(terms_of(uncovered(F.col("text")))).alias("term")).groupBy("term").agg(
+        F.count("*").alias("term_docs"))
     pairs = pairs.join(entities, "entity").join(corpus, "term").join(F.broadcast(whole))
     told = F.log2(F.col("pair_docs") / F.col("term_docs") * F.col("all_docs") / F.col("entity_docs"))
     share = F.when(F.col("entity_docs") < F.col("all_docs"), told / F.log2(F.col("all_docs") / F.col("entity_docs")))
-    strong = materialize(
-        pairs.select("entity", "term", share.alias("disclosed")).where(F.col("disclosed") >= GENERALISE), "pii-pairs"
-    )
-    return (
-        places.join(strong, ["entity", "term"])
-        .groupBy("key", "start", "end").agg(F.max("disclosed").alias("disclosed"), F.first("term").alias("term"))
+    return materialize(
+        pairs.select("term", share.alias("disclosed")).where(F.col("disclosed") >= GENERALISE)
+        .groupBy("term").agg(F.max("disclosed").alias("disclosed")), "pii-strong"
     )
 
 
+def places(text: Column, spans: Column, strong: Column) -> Column:
+    """Where terms of ``strong``, an array of term and share, stand in ``text`` and no span overlaps them."""
+    known = F.struct(
+        F.map_from_entries(strong).alias("shares"), spans.alias("spans"), F.zip_with(
+            F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)),
+            lambda gap, term: F.struct(F.length(gap).alias("gap"), F.coalesce(term, F.lit("")).alias("term")),
+        ).alias("pieces"))
+
+    def marked(both: Column) -> Column:
+        def step(state: Column, piece: Column) -> Column:
+            start = state["at"] + piece["gap"]
+            end = start + F.length(piece["term"])
+            share = F.element_at(both["shares"], F.lower(piece["term"]))
+            free = ~F.exists(both["spans"], lambda o: (o["start"] < end) & (start < o["end"]))
+            one = F.struct(
+                F.lit(4).alias("place"), start.alias("start"), end.alias("end"), F.lit("term").alias("kind"), share.alias("disclosed")
+            )
+            kept = F.when(share.isNotNull() & free, F.concat(state["out"], F.array(one))).otherwise(state["out"])
+            return F.struct(end.alias("at"), kept.alias("out"))
+
+        none = F.expr("cast(array() as array<struct<place:int,start:int,end:int,kind:string,disclosed:double>>)")
+        return F.aggregate(both["pieces"], F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    return let(known, marked)
+
+
 def with_terms(docs: DataFrame) -> DataFrame:
     """:func:`mentions` with ``terms``, the disclosing places of each row in order (null if none)."""
     found = mentions(docs)
-    place = F.struct(
-        F.lit(4).alias("place"), "start", "end", F.lit("term").alias("kind"), F.col("disclosed")
-    )
+    strong = disclosing(docs, found)
+    texts = docs.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("key"), "text")
+    held = texts.select("key", F.explode(terms_of(uncovered(F.col("text")))).alias("term")).join(strong, "term")
+    holders = materialize(held.groupBy("key").agg(F.collect_set(F.struct("term", "disclosed")).alias("strong")), "pii-holders")
+    hit = texts.join(holders, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("strong").alias("strong"))
+    hit = hit.select("key", "text", "strong", F.struct(*[s.alias(k) for k, s in base_spans(F.col("text")).items()]).alias("found"))
     terms = materialize(
-        disclosing(docs, found).groupBy("key").agg(F.array_sort(F.collect_list(place)).alias("terms")), "pii-terms"
+        hit.select("key", places(F.col("text"), all_spans(F.col("found")), F.col("strong")).alias("terms"))
+        .where(F.size("terms") > 0), "pii-terms"
     )
-    return found.join(terms, "key", "left")
+    return found.drop("terms", "entities").join(terms, "key", "left")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -184,7 +208,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced by their kind, and the terms that
     disclose most removed. Rows are matched by their text, so copies are treated alike; a null text stays.
     """
-    marked = with_terms(docs).where("key is not null").groupBy("key").agg(
+    marked = with_terms(docs).where((F.size(all_spans(F.col("found"))) > 0) | F.col("terms").isNotNull()).groupBy("key").agg(
         F.first("found").alias("found"), F.first("terms").alias("terms")
     )
     base = F.transform(

@@ -151,3 +151,16 @@ def test_terms_that_disclose(spark):
     assert f"term:{start}:{start + 9}" in got[0].spans and got[0].n_term == 1 and got[100].n_term == 0
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, told + rest)).collect()}
     assert "Zanzibara" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rest[0][1]
+
+
+def test_terms_far_from_the_entity_and_without_it(spark):
+    """A name in the heading of letters signed by one address tells it, also where the address is missing."""
+    far = " ".join(["common word"] * 20)
+    told = [(i, f"Zanzibara {w} {far} bob@mail.example.com", None, None) for i, w in enumerate(words(9, 5))]
+    alone = [(50, "then ZANZIBARA said so, zanzibara", None, None)]
+    rest = [(100 + i, "common word " + " ".join(words(20 + i, 12)), None, None) for i in range(40)]
+    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, told + alone + rest)).collect()}
+    assert got[0].spans.endswith("term:0:9") and [got[i].n_term for i in (0, 4, 100)] == [1, 1, 0]
+    assert got[50].spans == "term:5:14,term:24:33" and got[50].base_sha256 == hashlib.sha256(b"").hexdigest()
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, told + alone + rest)).collect()}
+    assert "anzibara" not in (clean[0] + clean[50]).lower() and clean[100] == rest[0][1]
