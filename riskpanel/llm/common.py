@@ -12,6 +12,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 256
+#: A key with more than this part of all rows counts as hot; there are fewer such keys than this number.
+HOT_PARTS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +129,19 @@ def replace_spans(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
 
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str, total_rows: int) -> DataFrame:
+    """Left join of ``rows`` with ``values``, which holds each key once and its number of rows as ``n_rows``.
+
+    Keys with more than one in ``HOT_PARTS`` of the ``total_rows`` rows are fewer than ``HOT_PARTS``, so they are
+    broadcast and their rows stay where they are; only the rest is shuffled by the key. Both tables should be
+    written ones, as they are read twice.
+    """
+    hot = F.col("n_rows") * HOT_PARTS > total_rows
+    few = F.broadcast(values.where(hot))
+    rest = values.where(~hot)
+    return rows.join(few, key).unionByName(rows.join(few, key, "left_anti").join(rest, key, "left"))
+
+
 def with_text(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with another text and, where there is such a column, its ``n_chars``; nulls stay null."""
     out = docs.withColumn("text", text)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskpanel.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_dedup, pii, quality, secret_scan, topk
+from riskpanel.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_dedup, pii, quality, secret_scan, simhash, topk
 from riskpanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html": op1_html,
     "op2_near_dedup": op2_near_dedup,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op13_simhash": op13_simhash,
 }
 ORACLES: dict[str, str] = {
     "op2_near_dedup": near_dedup.SQL,
