@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskpanel.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_dedup, pii, quality, secret_scan, simhash, topk
+from riskpanel.llm import (
+    decontaminate, html_extract, language_id, lm_score, mixing, near_dedup, pii, quality, resampling, secret_scan, simhash, topk,
+)
 from riskpanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +54,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,10 +73,12 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op12_resampling": op12_resampling,
     "op13_simhash": op13_simhash,
 }
 ORACLES: dict[str, str] = {
     "op2_near_dedup": near_dedup.SQL,
     "op3_topk": topk.SQL,
     "op6_mixing": mixing.SQL,
+    "op12_resampling": resampling.SQL,
 }
