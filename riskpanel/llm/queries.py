@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskpanel.llm import (
-    decontaminate, html_extract, language_id, lm_score, mixing, near_dedup, pii, quality, resampling, secret_scan, simhash, topk,
+    collocations, decontaminate, html_extract, language_id, lm_score, mixing, near_dedup, pii, quality, resampling, secret_scan, simhash,
+    topk,
 )
 from riskpanel.llm.common import table
 
@@ -54,6 +55,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_collocations": op11_collocations,
     "op12_resampling": op12_resampling,
     "op13_simhash": op13_simhash,
 }
@@ -80,5 +86,6 @@ ORACLES: dict[str, str] = {
     "op2_near_dedup": near_dedup.SQL,
     "op3_topk": topk.SQL,
     "op6_mixing": mixing.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_resampling": resampling.SQL,
 }
