@@ -12,7 +12,7 @@ from riskpanel.operators import activity as A
 from riskpanel.operators import splits as S
 from riskpanel.plans import training as M
 from riskpanel.plans.panel_build import labelled_panel
-from riskpanel.session import materialize
+from riskpanel.session import materialize, scratch_path
 
 LABEL = "label_advisory_within_6m"
 
@@ -203,8 +203,9 @@ def score_bundle(spark, sf_dir):
 
     panel = _full(spark, sf_dir)
     columns = S.select_feature_columns(panel, LABEL, prefixes=["advisory_", "advisories_", "swh_"])
-    prepared = M.prepare(panel, LABEL, columns, strategy="time", test_start=B.TEST_START)
+    prepared, fills = M.prepare_with_fills(panel, LABEL, columns, strategy="time", test_start=B.TEST_START)
     trained = M.fit_and_score(prepared, columns, "logistic")
-    others = [c for c in columns if not c.startswith(S.INCIDENT_PREFIXES)]
-    medians = S.train_medians(prepared, others)
-    return M.score_bundle(trained, medians, _bundle(spark, sf_dir), "2001-08-31")
+    path = scratch_path(spark, "artifacts")
+    M.save_artifacts(trained, path, fills)
+    scorer = M.load_scorer(spark, path)
+    return M.score_with(scorer.pipeline, scorer.columns, _bundle(spark, sf_dir), "2001-08-31")

@@ -147,11 +147,18 @@ def train_medians(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
         .alias(f"median_{c}") for c in columns])
 
 
-def impute(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Incident columns become 0 where missing, all others the training median.
+def fill_values(matrix: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """What replaces a missing value of each column: 0 for incident columns, else the training median.
 
-    The incident feed is complete, so a missing value there means no history.
+    The incident feed is complete, so a missing value there means no history. One row of medians comes to the driver.
     """
+    other = [c for c in columns if not c.startswith(INCIDENT_PREFIXES)]
+    medians = train_medians(matrix, other).first().asDict() if other else {}
+    return {c: medians.get(f"median_{c}", 0.0) for c in columns}
+
+
+def impute(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Missing values replaced as :func:`fill_values` says, in one plan."""
     zero = [c for c in columns if c.startswith(INCIDENT_PREFIXES)]
     other = [c for c in columns if not c.startswith(INCIDENT_PREFIXES)]
     filled = matrix.fillna(0.0, subset=zero) if zero else matrix

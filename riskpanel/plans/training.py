@@ -7,21 +7,24 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskpanel import constants as K
 from riskpanel.functions.numbers import risk_tier
 from riskpanel.operators import ranking as R
+from riskpanel.operators import permutation as I
 from riskpanel.operators import splits as S
+from riskpanel.operators import trees as T
 from riskpanel.operators.bundle import align_to_model
 from riskpanel.session import materialize
 
@@ -37,6 +40,8 @@ MODEL_DEFAULTS = {
                  "featureSubsetStrategy": "0.8", "seed": 42},
 }
 BOOST_POSITIVE_WEIGHT = 18.0
+#: Feature values that one training task reads in each iteration.
+PART_VALUES = 2_000_000
 FAMILIES = {
     "advisory_only": (("advisory_",), True),
     "gharchive_only": (("gharchive_",), True),
@@ -77,17 +82,38 @@ class Trained:
     columns: list[str]
     predictions: DataFrame
     metrics: dict = field(default_factory=dict)
+    settings: dict = field(default_factory=dict)
+
+
+@dataclass
+class Scorer:
+    """A loaded model that scores rows of the feature contract, missing values included."""
+
+    name: str
+    pipeline: PipelineModel
+    columns: list[str]
+    settings: dict
+    metrics: dict
 
 
 def prepare(
     labelled: DataFrame, target: str, columns: Sequence[str], **split
 ) -> DataFrame:
     """Split and imputed training table, written once so that every fit reads it back."""
-    usable = labelled.where(F.col(target).isNotNull())
-    sided = S.split_rows(usable, **split)
+    return prepare_with_fills(labelled, target, columns, **split)[0]
+
+
+def prepare_with_fills(
+    labelled: DataFrame, target: str, columns: Sequence[str], **split
+) -> tuple[DataFrame, dict[str, float]]:
+    """The table of :func:`prepare` and what stands in it for missing values, which a scorer must repeat."""
+    sided = S.split_rows(labelled.where(F.col(target).isNotNull()), **split)
     matrix = S.as_matrix(sided, columns, ["entity", "month", "split",
                                           F.col(target).cast("double").alias("label")])
-    return materialize(S.impute(matrix, columns), "matrix")
+    fills = S.fill_values(matrix, columns)
+    kept = [c for c in matrix.columns if c not in fills]
+    filled = matrix.select(*kept, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in fills.items()])
+    return materialize(filled, "matrix"), fills
 
 
 def _features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -107,12 +133,15 @@ def fit_and_score(
         settings.setdefault("regParam", 1.0 / max(1, total))
     rows = _features(train, columns).select(
         "features", "label", weight_column(name, weights).alias("weight"))
+    values = (weights["n_pos"] + weights["n_neg"]) * max(1, len(columns))
+    rows = rows.coalesce(max(1, -(-values // PART_VALUES))).persist(StorageLevel.MEMORY_AND_DISK)
     model = get_model(name, **settings).fit(rows)
+    rows.unpersist()
     scored = model.transform(_features(prepared.where(F.col("split") == "test"), columns))
     predictions = materialize(scored.select(
         "entity", "month", F.col("label").cast("int").alias("y_true"),
         vector_to_array("probability")[1].alias("y_prob")), "predictions")
-    return Trained(name, model, list(columns), predictions)
+    return Trained(name, model, list(columns), predictions, settings={**MODEL_DEFAULTS[name], **settings})
 
 
 def evaluate(trained: Trained, prepared: DataFrame) -> dict:
@@ -187,10 +216,16 @@ def top_features(trained: Trained, n: int = 20) -> tuple[list[dict], list[dict]]
     return up, down
 
 
-def global_importance(trained: Trained, test: DataFrame) -> list[tuple[str, float]]:
-    """Features by importance: mean absolute contribution, or the trees' own importances."""
+def global_importance(trained: Trained, test: DataFrame, by: str = "model") -> list[tuple[str, float]]:
+    """Features by importance: mean absolute contribution, or the trees' own importances.
+
+    ``by="permutation"`` takes the fall of average precision on ``test`` when a feature's values are permuted.
+    """
     signed = coefficients(trained)
-    if signed is None:
+    if by == "permutation":
+        found = I.permutation_importance(test, trained.columns, "label", I.model_score(trained.model))
+        scores = {r["feature"]: r["importance"] for r in found.collect()}  # one row per feature
+    elif signed is None:
         scores = dict(zip(trained.columns, map(float, trained.model.featureImportances),
                           strict=True))
     else:
@@ -281,43 +316,54 @@ def embargo_backtest(
                                        "roc_auc DOUBLE, average_precision DOUBLE")
 
 
-def row_drivers(trained: Trained, rows: DataFrame, n: int = 10) -> DataFrame:
-    """The n strongest linear contributions per row, with direction and rank.
-
-    Trees have no signed contributions: their features rank by importance alone, without a direction.
-    """
+def contributions(trained: Trained, rows: DataFrame) -> DataFrame:
+    """``entity, month, feature, value, contribution`` of every feature that moves a row's raw score."""
+    keys = [c for c in ("entity", "month") if c in rows.columns]
+    values = F.array(*[F.col(c).cast("double") for c in trained.columns])
+    wide = rows.select(*keys, values.alias("features"))
+    names = F.array(*map(F.lit, trained.columns))
     signed = coefficients(trained)
-    weights = signed or dict(zip(
-        trained.columns, map(float, trained.model.featureImportances), strict=True))
+    if signed is not None:
+        weights = F.array(*[F.lit(signed[c]) for c in trained.columns])
+        parts = wide.select(*keys, F.posexplode("features").alias("feature", "value"))
+        parts = parts.withColumn("contribution", F.col("value") * F.get(weights, F.col("feature")))
+    else:
+        walked = T.path_contributions(wide, T.model_nodes(trained.model), keys)
+        parts = walked.join(wide, keys).withColumn("value", F.get("features", F.col("feature")))
+    return parts.select(*keys, F.get(names, F.col("feature")).alias("feature"), "value", "contribution")
 
-    def strength(c: str, v: float) -> Column:
-        return F.col(c) * v if signed else F.lit(v)
 
-    parts = [
-        F.struct((-F.abs(strength(c, v))).alias("order"), F.lit(c).alias("feature"),
-                 strength(c, v).alias("contribution"), F.col(c).alias("value"))
-        for c, v in weights.items() if c not in K.WINDOW_COLUMNS]
-    strongest = F.slice(F.array_sort(F.array(*parts)), 1, n)
+def row_drivers(trained: Trained, rows: DataFrame, n: int = 10) -> DataFrame:
+    """The n strongest contributions per row, with direction and rank; ties by name.
+
+    Linear models contribute weight times value, trees the changes of value along their paths. Calendar columns
+    contribute but are not shown. Each row has as many contributions as features at most.
+    """
     keys = [c for c in ("entity", "month") if c in rows.columns]
-    exploded = rows.select(*keys, F.posexplode(strongest).alias("pos", "d"))
+    shown = contributions(trained, rows).where(~F.col("feature").isin(*K.WINDOW_COLUMNS))
+    entry = F.struct((-F.abs("contribution")).alias("order"), "feature", "contribution", "value")
+    strongest = F.slice(F.array_sort(F.collect_list(entry)), 1, n)
     contribution = F.col("d.contribution")
-    return exploded.select(
+    return shown.groupBy(*keys).agg(strongest.alias("all")).select(
+        *keys, F.posexplode("all").alias("pos", "d")).select(
         *keys, (F.col("pos") + 1).alias("rank"), F.col("d.feature").alias("feature"),
         F.col("d.value").alias("value"), contribution.alias("contribution"),
-        (F.when(contribution > 0, "increases_risk").when(contribution < 0, "decreases_risk")
-         .otherwise("neutral") if signed else F.lit(None).cast("string")).alias("direction"))
+        F.when(contribution > 0, "increases_risk").when(contribution < 0, "decreases_risk")
+        .otherwise("neutral").alias("direction"))
+
 
+def scoring_pipeline(trained: Trained, fills: dict[str, float]) -> PipelineModel:
+    """Imputation, assembly and model as one pipeline that MLlib can save and load."""
+    quoted = [f"`{c}`" for c in trained.columns]
+    filled = ", ".join(f"coalesce({c}, {fills[n]!r}D) AS {c}" for n, c in zip(trained.columns, quoted, strict=True))
+    impute = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(quoted)}), {filled} FROM __THIS__")
+    assemble = VectorAssembler(inputCols=list(trained.columns), outputCol="features", handleInvalid="keep")
+    return PipelineModel([impute, assemble, trained.model])
 
-def score_bundle(trained: Trained, medians: DataFrame, bundle: DataFrame, as_of: str) -> DataFrame:
+
+def score_with(pipeline: PipelineModel, columns: Sequence[str], bundle: DataFrame, as_of: str) -> DataFrame:
     """Probability, tier and missing fraction of every entity of the current-point bundle."""
-    from riskpanel.operators.prefix import with_constants
-
-    aligned = align_to_model(bundle, trained.columns, as_of)
-    joined = with_constants(aligned, medians)
-    filled = joined.select("entity", "missing_features", "missing_fraction", *[
-        F.coalesce(c, F.col(f"median_{c}") if f"median_{c}" in joined.columns else F.lit(0.0))
-        .alias(c) for c in trained.columns])
-    scored = trained.model.transform(_features(filled, trained.columns))
+    scored = pipeline.transform(align_to_model(bundle, columns, as_of))
     probability = vector_to_array("probability")[1]
     return scored.select(
         "entity", probability.alias("probability"), risk_tier(probability).alias("risk_tier"),
@@ -325,11 +371,23 @@ def score_bundle(trained: Trained, medians: DataFrame, bundle: DataFrame, as_of:
         (F.col("missing_fraction") >= 0.5).alias("mostly_missing"))
 
 
-def save_artifacts(trained: Trained, path: str) -> None:
-    """Model, ordered feature contract, metrics and curve below one folder."""
+def score_bundle(trained: Trained, fills: dict[str, float], bundle: DataFrame, as_of: str) -> DataFrame:
+    """Scores of the bundle by a model that was just trained."""
+    return score_with(scoring_pipeline(trained, fills), trained.columns, bundle, as_of)
+
+
+def save_artifacts(trained: Trained, path: str, fills: dict[str, float] | None = None) -> None:
+    """Pipeline, ordered feature contract, settings, metrics and curves below one folder.
+
+    Without ``fills`` missing values of every feature are scored as 0.
+    """
     spark = trained.predictions.sparkSession
-    trained.model.write().overwrite().save(f"{path}/model")
-    documents = {"feature_columns": trained.columns, "metrics": trained.metrics}
+    fills = {c: float((fills or {}).get(c, 0.0)) for c in trained.columns}
+    scoring_pipeline(trained, fills).write().overwrite().save(f"{path}/pipeline")
+    documents = {
+        "feature_columns": trained.columns, "metrics": trained.metrics,
+        "model": {"name": trained.name, "settings": trained.settings, "fills": fills},
+    }
     for name, payload in documents.items():
         text = spark.createDataFrame([(json.dumps(payload, sort_keys=True),)], "value STRING")
         text.write.mode("overwrite").text(f"{path}/{name}")
@@ -339,12 +397,24 @@ def save_artifacts(trained: Trained, path: str) -> None:
         "header", True).csv(f"{path}/test_predictions")
 
 
-def load_artifacts(spark: SparkSession, path: str, model_class: type) -> tuple[Model, list[str], dict]:
-    """Model, feature contract and metrics written by :func:`save_artifacts`."""
-    columns, metrics = (
+def load_scorer(spark: SparkSession, path: str) -> Scorer:
+    """What :func:`save_artifacts` wrote, ready to score; the folder's path is all that is needed."""
+    columns, metrics, model = (
         json.loads(spark.read.text(f"{path}/{name}", wholetext=True).first()[0])
-        for name in ("feature_columns", "metrics"))
-    return model_class.load(f"{path}/model"), columns, metrics
+        for name in ("feature_columns", "metrics", "model"))
+    return Scorer(model["name"], PipelineModel.load(f"{path}/pipeline"), columns, model["settings"], metrics)
+
+
+def reproduced(scorer: Scorer, saved: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: saved test predictions met again, and the greatest difference between then and now.
+
+    ``saved`` is the prediction table as read back, ``rows`` the feature rows it was made of.
+    """
+    now = scorer.pipeline.transform(rows).select(
+        F.col("entity").cast("string").alias("entity"), "month", vector_to_array("probability")[1].alias("now"))
+    then = saved.select(F.col("entity").cast("string").alias("entity"), "month", F.col("y_prob").alias("then"))
+    return then.join(now, ["entity", "month"]).agg(
+        F.count(F.lit(1)).alias("rows_compared"), F.max(F.abs(F.col("now") - F.col("then"))).alias("max_difference"))
 
 
 def compare_models(

@@ -52,31 +52,29 @@ def by_month(df):
     return {r["month"]: r.asDict() for r in df.collect()}
 
 
-def test_to_date_features_of_two_incidents(spark):
-    grid = P.dense_grid(entities(spark, "demo", "quiet"), "2025-02", "2025-05")
-    panel = P.incident_panel(grid, incident_rows(spark, *TWO))
-    rows = by_month(panel.where("entity = 'demo'"))
-    march, may = rows["2025-03"], rows["2025-05"]
-    expected = {
-        "advisory_count_to_date": 1, "advisory_cve_count_to_date": 1,
-        "advisory_max_cvss_to_date": 4.0, "advisory_days_since_first_to_date": 52,
-        "advisory_days_since_latest_to_date": 52, "advisory_span_days_to_date": 0,
-        "advisories_last_365d": 1, "advisory_cvss_ge_7_count_to_date": 0,
-        "advisory_mean_cvss_to_date": 4.0, "advisory_count_this_month": 0,
-    }
-    assert {k: march[k] for k in expected} == expected
-    expected = {
-        "advisory_count_to_date": 2, "advisory_count_this_month": 1,
-        "advisory_max_cvss_to_date": 7.5, "advisory_days_since_first_to_date": 113,
-        "advisory_days_since_latest_to_date": 10, "advisory_span_days_to_date": 103,
-        "advisory_cvss_ge_7_count_to_date": 1, "advisory_mean_cvss_to_date": 5.75,
-    }
-    assert {k: may[k] for k in expected} == expected
-    quiet = by_month(panel.where("entity = 'quiet'"))["2025-05"]
-    assert quiet["advisory_count_to_date"] == 0 and quiet["advisories_present_any"] is False
-    for absent in ("advisories_last_365d", "advisory_cvss_ge_7_count_to_date",
-                   "advisory_mean_cvss_to_date", "advisory_span_days_to_date"):
-        assert quiet[absent] is None
+def test_to_date_features_with_equal_days_and_a_score_on_the_line(spark):
+    """One incident before the grid, two on one day of which one scores exactly 7, and a shared id."""
+    history = [
+        ("lib", "2023-11-30", None, ["CVE-A"]), ("lib", "2024-02-29", 7.0, ["CVE-A", "CVE-B"]),
+        ("lib", "2024-02-29", 2.0, []), ("other", "2024-03-01", 9.1, ["CVE-A"]),
+    ]
+    grid = P.dense_grid(entities(spark, "lib", "other", "bare"), "2024-01", "2024-03")
+    rows = {(r["entity"], r["month"]): r for r in P.incident_panel(grid, incident_rows(spark, *history)).collect()}
+    assert len(rows) == 9
+    january, february, march = (rows["lib", f"2024-0{m}"] for m in (1, 2, 3))
+    assert [r["advisory_count_to_date"] for r in (january, february, march)] == [1, 3, 3]
+    assert [r["advisory_count_this_month"] for r in (january, february, march)] == [0, 2, 0]
+    assert [r["had_advisory_this_month"] for r in (january, february, march)] == [False, True, False]
+    assert [r["advisory_cve_count_to_date"] for r in (january, february, march)] == [1, 2, 2]
+    assert [r["advisory_mean_cvss_to_date"] for r in (january, february, march)] == [None, 4.5, 4.5]
+    assert [r["advisory_cvss_ge_7_count_to_date"] for r in (january, february, march)] == [0, 1, 1]
+    assert [r["advisory_span_days_to_date"] for r in (january, february, march)] == [0, 91, 91]
+    assert february["advisory_days_since_latest_to_date"] == 0 and march["advisory_days_since_latest_to_date"] == 31
+    assert january["advisory_days_since_first_to_date"] == 62
+    for other, count in (("other", 1), ("bare", 0)):
+        row = rows[other, "2024-03"]
+        assert row["advisory_count_to_date"] == count and row["advisories_present_any"] is (count > 0)
+        assert (row["advisories_last_365d"] is None) == (count == 0)
 
 
 def test_history_before_the_grid_counts(spark):

@@ -7,7 +7,6 @@ import zipfile
 
 import pytest
 from py4j.protocol import Py4JJavaError
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from riskpanel.plans import training as M
@@ -102,9 +101,10 @@ def test_train_save_and_load(spark, tmp_path):
     assert trained.columns == ["advisory_a", "swh_b"]
     assert trained.metrics["roc_auc"] > 0.9 and trained.metrics["train_row_count"] == 160
     M.save_artifacts(trained, str(tmp_path / "run"))
-    model, columns, metrics = M.load_artifacts(spark, str(tmp_path / "run"), LogisticRegressionModel)
-    assert columns == trained.columns and model.numFeatures == 2
-    assert metrics["average_precision"] == pytest.approx(trained.metrics["average_precision"])
+    scorer = M.load_scorer(spark, str(tmp_path / "run"))
+    assert scorer.columns == trained.columns and scorer.pipeline.stages[-1].numFeatures == 2
+    assert scorer.name == "logistic" and scorer.settings["maxIter"] == 20
+    assert scorer.metrics["average_precision"] == pytest.approx(trained.metrics["average_precision"])
     saved = readers.read_predictions(spark, str(tmp_path / "run" / "test_predictions"))
     assert saved.count() == 80
     with pytest.raises(ValueError):
