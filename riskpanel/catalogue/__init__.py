@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("panel", "activity", "archive", "incidents", "identity", "bundle", "ranking", "cohort", "learning", "explain", "storage")
+MODULES = ("panel", "activity", "archive", "incidents", "identity", "bundle", "ranking", "cohort", "learning", "explain", "storage", "streams")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}

@@ -12,6 +12,7 @@ from riskpanel.operators import incidents as I
 from riskpanel.session import scratch_path
 from riskpanel.sources import readers, schemas, writers
 from riskpanel.streaming import incremental as N
+from riskpanel.streaming.landing import read_landed
 
 
 def _name(prefix):
@@ -184,7 +185,7 @@ def land_new_files(spark, sf_dir):
         part.write.mode("append").json(source)
         N.land_new_files(spark, source, "o_orderkey LONG, event_yyyymm STRING", target,
                          checkpoint).awaitTermination()
-    return spark.read.parquet(target).groupBy(
+    return read_landed(spark, target).groupBy(
         F.col("event_yyyymm").cast("string").alias("event_yyyymm")).agg(
         F.count(F.lit(1)).alias("n_rows"))
 

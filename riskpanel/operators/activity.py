@@ -137,21 +137,14 @@ def _flags() -> dict[str, Column]:
     }
 
 
-def activity_counts(events: DataFrame) -> DataFrame:
-    """Counts, distinct actors and active days per (entity, month).
-
-    Aggregated first per actor: the automation test runs once per actor, distinct actors become
-    row counts, and a hot month is spread over its actors. Days of a month are bits of one
-    integer, so distinct days need no distinct aggregate.
-    """
+def tested_events(events: DataFrame) -> DataFrame:
+    """Each test once per event with a usable key: what :func:`actor_measures` counts."""
     keyed = events.where(
         T.blank_to_null(F.col("entity").cast("string")).isNotNull()
         & T.blank_to_null(F.col("event_yyyymm")).isNotNull()
     )
-    flags = _flags()
     sampled = F.when(F.col("sample_percent").isNotNull(), F.col("event_ts"))
-    # each test once per event; the aggregate below only counts
-    tested = keyed.select(
+    return keyed.select(
         "entity", F.trim(F.col("event_yyyymm")).alias("month"),
         F.coalesce(F.trim(F.col("actor_login")), F.lit("")).alias("actor"),
         F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth("event_date"))
@@ -161,16 +154,40 @@ def activity_counts(events: DataFrame) -> DataFrame:
         F.lower(F.trim("ref_type")).alias("ref"), "pr_merged",
         T.mentions_any(F.col("text_blob"), K.SECURITY_KEYWORDS).alias("security"),
         T.mentions_any(F.col("text_blob"), K.HOTFIX_KEYWORDS).alias("hotfix"),
+        F.coalesce("event_ts", F.col("event_date").cast("timestamp"), F.to_timestamp(F.trim("event_yyyymm"), "yyyy-MM"))
+        .alias("event_time"),
     )
-    by_actor = tested.groupBy("entity", "month", "actor").agg(
-        *[F.count_if(c).alias(k) for k, c in flags.items()],
+
+
+def actor_measures() -> list[Column]:
+    """Aggregates of tested events that can be merged again."""
+    return [
+        *[F.count_if(c).alias(k) for k, c in _flags().items()],
         F.bit_or("day_bit").alias("days"),
         F.max_by("sample_percent", "sampled_at").alias("sample_percent"),
         F.max("sampled_at").alias("sampled_at"),
+    ]
+
+
+def fact_columns() -> list[str]:
+    return [*_flags(), "days", "sample_percent", "sampled_at"]
+
+
+def merge_actor_facts(facts: DataFrame) -> DataFrame:
+    """One row per (entity, month, actor) out of any number of partial ones."""
+    return facts.groupBy("entity", "month", "actor").agg(
+        *[F.sum(k).alias(k) for k in _flags()],
+        F.bit_or("days").alias("days"),
+        F.max_by("sample_percent", "sampled_at").alias("sample_percent"),
+        F.max("sampled_at").alias("sampled_at"),
     )
+
+
+def months_of_actors(by_actor: DataFrame) -> DataFrame:
+    """Counts, distinct actors and active days per (entity, month), from one row per actor."""
     bot, named = T.is_bot(F.col("actor")), F.col("actor") != ""
     human_pushes = F.when(named & ~bot & (F.col("push_events") > 0), F.col("push_events"))
-    summed = [k for k in flags if not k.startswith("bump_")]
+    summed = [k for k in _flags() if not k.startswith("bump_")]
     px = K.ACTIVITY_PREFIX
     totals = by_actor.groupBy("entity", "month").agg(
         *[F.sum(k).alias(px + k) for k in summed],
@@ -191,6 +208,17 @@ def activity_counts(events: DataFrame) -> DataFrame:
     )
 
 
+def activity_counts(events: DataFrame) -> DataFrame:
+    """Counts, distinct actors and active days per (entity, month).
+
+    Aggregated first per actor: the automation test runs once per actor, distinct actors become
+    row counts, and a hot month is spread over its actors. Days of a month are bits of one
+    integer, so distinct days need no distinct aggregate.
+    """
+    by_actor = tested_events(events).groupBy("entity", "month", "actor").agg(*actor_measures())
+    return months_of_actors(by_actor)
+
+
 def source_window_counts(events: DataFrame) -> DataFrame:
     """Number of distinct collection windows that contributed to an (entity, month)."""
     start, end = (T.blank_to_null(F.col(f"source_window_{x}_yyyymmdd")) for x in ("start", "end"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskpanel.session import materialize
 from riskpanel.sources.writers import write_months
+from riskpanel.streaming import landing as L
 
 
 def collection_status(
@@ -70,15 +72,25 @@ def land_new_files(
 ):
     """Append the files that arrived since the last run to the month partitions.
 
-    The checkpoint remembers finished files. A batch that was written but not yet remembered comes again
-    under the same number after a crash; it lands in the partition of that number, which it replaces, so
-    every file is landed exactly once.
+    The checkpoint remembers finished files. Each row keeps its file's name and lies below the number of its run and
+    batch; :func:`read_landed` gives the rows of committed batches. A batch that was written but not committed comes
+    again under the same numbers and replaces what it left. If the checkpoint is lost, a run with a new number starts
+    over: it leaves out the files of batches that earlier runs committed. So every file is landed exactly once.
     """
+    run = L.run_number(spark, L.committed(spark, target), checkpoint)
+    known = L.landed_before(spark, target, run)
+    if known is not None:
+        known = materialize(known.select("landing_file").distinct(), "known-files")
+
     def write(batch: DataFrame, number: int) -> None:
-        write_months(batch, f"{target}/landing_batch={number}", overwrite=True, column=month_column)
+        fresh = batch if known is None else batch.join(known, "landing_file", "left_anti")
+        with L.landing(batch.sparkSession, target, run, number) as folder:
+            if folder:
+                write_months(fresh, folder, overwrite=True, column=month_column)
 
     stream = spark.readStream.schema(schema).format(fmt).load(source)
     return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        stream.select("*", F.col("_metadata.file_path").alias("landing_file"))
+        .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
