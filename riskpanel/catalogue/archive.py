@@ -314,3 +314,59 @@ SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n_rows,
        count(DISTINCT o_custkey) AS n_entities FROM orders GROUP BY 1""")
 def yearly_coverage(spark, sf_dir):
     return B.rounded(R.yearly_coverage(B.table(spark, sf_dir, "orders"), "o_orderdate", "o_custkey"))
+
+
+def _revision_log(spark, sf_dir):
+    """The revision table with its commit dates, offsets and messages."""
+    key = F.col("p_partkey")
+    date = F.timestamp_add("HOUR", (key * 37 % 40_000).cast("int"), F.lit("1995-01-01 00:00:00").cast("timestamp"))
+    tz = ((key % 27 - 13) * 30).cast("smallint")
+    texts = F.array(*[F.lit(m) for m in _MESSAGES])
+    return B.table(spark, sf_dir, "part").select(
+        _text("r", key).alias("id"), F.when(key % 19 != 0, _text("d", key % 800)).alias("directory"),
+        F.when(key % 29 != 0, date).alias("date"),
+        F.timestamp_add("HOUR", (key % 100 - 10).cast("int"), date).alias("committer_date"),
+        F.when(key % 31 != 0, tz).alias("date_offset"),
+        F.when(key % 3 == 0, tz).otherwise(F.lit(0).cast("smallint")).alias("committer_offset"),
+        F.element_at(texts, (key % len(_MESSAGES) + 1).cast("int")).cast("binary").alias("message"))
+
+
+@register("graph_visits", f"""{_GRAPH},
+flags AS (
+  SELECT snapshot_id, bool_or(n = 'jenkinsfile') AS has_jenkinsfile, count(DISTINCT n) AS top_level_entry_count
+  FROM (SELECT roots.snapshot_id, lower(trim(entry_name)) AS n
+        FROM roots JOIN entries e ON e.directory_id = roots.directory) GROUP BY snapshot_id),
+log AS (
+  SELECT 'r' || CAST(p_partkey AS VARCHAR) AS id, p_partkey AS p,
+    TIMESTAMP '1995-01-01' + to_hours(CAST(p_partkey * 37 % 40000 AS INT)) AS a,
+    [{', '.join(f"'{m}'" for m in _MESSAGES)}][CAST(p_partkey % {len(_MESSAGES)} + 1 AS INT)] AS m FROM part),
+meta AS (
+  SELECT sb.snapshot_id, CASE WHEN p % 29 <> 0 THEN a END AS author, a + to_hours(CAST(p % 100 - 10 AS INT)) AS committer,
+    CASE WHEN p % 31 <> 0 THEN (p % 27 - 13) * 30 END AS tz, CASE WHEN p % 3 = 0 THEN (p % 27 - 13) * 30 ELSE 0 END AS tz2,
+    trim(m) AS m FROM sb JOIN log ON log.id = sb.target),
+signals AS (
+  SELECT snapshot_id, count(*) AS commit_count, max(author) AS last_author, count(DISTINCT tz) AS timezone_diversity,
+    count(*) FILTER (WHERE {_COMMIT_HIT}) AS security_fix_commit_count,
+    {_share("isodow(author) >= 6", "weekend_commit_fraction", "NULLIF(count(author), 0)")},
+    {_share("tz <> tz2", "author_committer_mismatch_rate")},
+    round_even(quantile_cont(date_diff('second', author, committer) / 3600.0::DOUBLE, 0.5)
+      FILTER (WHERE committer >= author), 2) AS author_committer_lag_p50_hours
+  FROM meta GROUP BY snapshot_id),
+seen AS (SELECT snapshot_id, max(visit_date) AS at FROM visits GROUP BY 1)
+SELECT v.origin, v.visit, COALESCE(has_jenkinsfile, FALSE) AS has_jenkinsfile,
+  COALESCE(top_level_entry_count, 0) AS top_level_entry_count, COALESCE(commit_count, 0) AS commit_count,
+  COALESCE(timezone_diversity, 0) AS timezone_diversity,
+  COALESCE(security_fix_commit_count, 0) AS security_fix_commit_count, weekend_commit_fraction,
+  author_committer_mismatch_rate, author_committer_lag_p50_hours,
+  CASE WHEN last_author IS NOT NULL THEN
+    round_even(greatest(0.0::DOUBLE, (epoch_us(s.at) - epoch_us(last_author)) / 8.64e10::DOUBLE), 1) END AS days_since_last_commit
+FROM visits v LEFT JOIN flags f ON f.snapshot_id = v.snapshot_id LEFT JOIN signals g ON g.snapshot_id = v.snapshot_id
+JOIN seen s ON s.snapshot_id = v.snapshot_id""")
+def graph_visits(spark, sf_dir):
+    """Visits with everything derived from the graph tables; a snapshot is measured once, at its latest visit."""
+    visits, branches = _subset(spark, sf_dir)
+    rows = R.visits_of_graph(visits, branches, _revision_log(spark, sf_dir), _entries(spark, sf_dir))
+    return B.rounded(rows.select(
+        "origin", "visit", "has_jenkinsfile", "top_level_entry_count", "commit_count", "timezone_diversity",
+        "security_fix_commit_count", "weekend_commit_fraction", "author_committer_mismatch_rate",
+        "author_committer_lag_p50_hours", "days_since_last_commit"))

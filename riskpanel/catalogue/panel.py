@@ -222,3 +222,49 @@ def asof_visit(spark, sf_dir):
     grid = P.dense_grid(B.customers(spark, sf_dir), B.START, B.END)
     panel = P.visit_panel(grid, B.customer_visits(spark, sf_dir))
     return B.rounded(panel.select(*KEYS, *_ASOF_COLUMNS))
+
+
+@register("asof_api_visit", f"""WITH {B.CUSTOMER_GRID_SQL}, {B.CUSTOMER_VISITS_SQL},
+archive AS (SELECT * FROM visits WHERE entity % 3 <> 0),
+archive_index AS (SELECT c_custkey AS entity, c_custkey % 14 AS record_count FROM customer WHERE c_custkey % 7 = 0),
+api AS (SELECT o_custkey AS entity, CAST(o_orderdate AS DATE) AS visit_day, o_orderkey AS visit FROM orders
+        WHERE o_orderstatus = 'O'),
+api_index AS (SELECT c_custkey AS entity, c_custkey % 5 = 0 AS origin, c_custkey % 2 = 0 AS snap FROM customer
+              WHERE c_custkey % 4 <> 0),
+known AS (SELECT entity FROM archive UNION SELECT entity FROM archive_index),
+v AS (
+  SELECT entity, visit_day, visit, has_readme, commit_count, days_since_last_commit FROM archive
+  UNION ALL SELECT entity, visit_day, visit, NULL, NULL, NULL FROM api WHERE entity NOT IN (SELECT entity FROM known)),
+whole AS (
+  SELECT c_custkey AS entity, c_custkey IN (SELECT entity FROM known) AS is_archive,
+    c_custkey IN (SELECT entity FROM v) AS visited, i.record_count, a.origin, a.snap,
+    i.entity IS NOT NULL AS in_archive_index, a.entity IS NOT NULL AS in_api_index
+  FROM customer LEFT JOIN archive_index i ON i.entity = c_custkey LEFT JOIN api_index a ON a.entity = c_custkey),
+best AS (
+  SELECT g.entity, g.month, arg_max(v, (v.visit_day, v.visit)) AS v, count(v.visit) AS n, max(v.visit_day) AS last_day
+  FROM grid g JOIN v ON v.entity = g.entity AND v.visit_day <= g.window_end GROUP BY g.entity, g.month)
+SELECT g.entity, g.month,
+  visited OR in_archive_index OR (NOT is_archive AND in_api_index) AS swh_present_any,
+  CASE WHEN is_archive THEN COALESCE(record_count > 0, FALSE) ELSE COALESCE(origin, FALSE) END AS swh_origin_found,
+  COALESCE(b.n, 0) > 0 AND (is_archive OR COALESCE(snap, FALSE)) AS swh_has_snapshot_to_date,
+  COALESCE(b.n, 0) AS swh_visit_count_to_date, b.last_day AS swh_latest_visit_date_to_date,
+  COALESCE(b.v.has_readme, FALSE) AS swh_has_readme, CAST(COALESCE(b.v.commit_count, 0) AS BIGINT) AS swh_commit_count,
+  CASE WHEN b.v.days_since_last_commit IS NOT NULL THEN CAST(greatest(0, date_diff('day', b.v.visit_day, g.window_end)
+    + CAST(floor(b.v.days_since_last_commit) AS BIGINT)) AS DOUBLE) END AS swh_days_since_last_commit
+FROM grid g JOIN whole w ON w.entity = g.entity LEFT JOIN best b ON b.entity = g.entity AND b.month = g.month""")
+def asof_api_visit(spark, sf_dir):
+    """As-of visits of an archive backend, with an API backend for the entities that it does not know."""
+    customers = B.customers(spark, sf_dir)
+    key = F.col("entity")
+    orders = B.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "O")
+    api = orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderdate").cast("date").alias("visit_day"),
+                        F.col("o_orderkey").alias("visit"))
+    api_index = customers.where(key % 4 != 0).select(
+        "entity", (key % 5 == 0).alias("origin_found"), (key % 2 == 0).alias("snapshot_found"))
+    archive_index = customers.where(key % 7 == 0).select("entity", (key % 14).alias("record_count"))
+    visits, index = P.visits_with_fallback(
+        B.customer_visits(spark, sf_dir).where(key % 3 != 0), archive_index, api, api_index)
+    panel = P.visit_panel(P.dense_grid(customers, B.START, B.END), visits, index=index, start=B.START)
+    return B.rounded(panel.select(*KEYS, *[f"swh_{c}" for c in (
+        "present_any", "origin_found", "has_snapshot_to_date", "visit_count_to_date", "latest_visit_date_to_date",
+        "has_readme", "commit_count", "days_since_last_commit")]))

@@ -1,7 +1,9 @@
 """Exact order statistics per group that never place a whole group in one task.
 
-Values are counted first, so repeated values travel once. A coarse histogram then tells which
-bucket of a group holds a wanted rank, and only those buckets are ordered value by value.
+Values are counted first, so repeated values travel once. Groups with few distinct values are ordered as they are.
+A larger group is split into cells, first on a logarithmic scale, then by the least and greatest value of the cell
+itself; only cells that hold a wanted rank go on, until each is small enough to be put in order. A cell's range falls
+by ``PIECES`` each time, so values that lie close together are spread as well as others.
 """
 
 from __future__ import annotations
@@ -12,10 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values of one bucket differ by less than 0.04 %, at any size. A group whose values span o octaves
-#: has 2,048 * o buckets at most, which is what one task puts in order.
+from riskpanel.session import materialize
+
+#: Distinct values of one group or cell that a task puts in order.
+ORDERED_VALUES = 100_000
 BUCKETS_PER_OCTAVE = 2048
+PIECES = 1024
 SMALLEST_OCTAVE, LARGEST_OCTAVE = 1100, 1100.0
+Ranks = dict[str, Callable[[Column], Column]]
 
 
 def _bucket(value: Column) -> Column:
@@ -25,12 +31,57 @@ def _bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).when(value < 0, -size).otherwise(size).cast("long")
 
 
+def _piece(value: Column, low: Column, high: Column) -> Column:
+    """Place of a value among ``PIECES`` equal parts of its cell; halves keep the widest ranges finite."""
+    share = (value / 2 - low / 2) / F.nullif(high / 2 - low / 2, F.lit(0.0))
+    return F.coalesce(F.least(F.floor(share * PIECES), F.lit(PIECES - 1)), F.lit(0)).cast("long")
+
+
+def _same(keys: Sequence[str], mark: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{mark}{k}")) for k in keys], F.lit(True))
+
+
+def _pick(rows: DataFrame, cell: Sequence[str], keys: Sequence[str], ranks: Ranks, before: Column) -> DataFrame:
+    """Values at the wanted ranks of cells that are put in order; ``rows`` hold ``v, n, n_values``."""
+    inside = Window.partitionBy(*(cell or [F.lit(0)])).orderBy("v")
+    ordered = rows.withColumn("upto", before + F.sum("n").over(inside))
+    at = {name: rank(F.col("n_values")).cast("long") for name, rank in ranks.items()}
+    picks = [
+        F.max(F.when((r >= F.col("upto") - F.col("n")) & (r < F.col("upto")), F.col("v"))).alias(name)
+        for name, r in at.items()
+    ]
+    return ordered.groupBy(*keys).agg(F.max("n_values").alias("n_values"), *picks)
+
+
+def _refined(rows: DataFrame, keys: list[str], ranks: Ranks) -> DataFrame:
+    """Only the cells that hold a wanted rank, each with at most ``ORDERED_VALUES`` distinct values.
+
+    Adds ``low`` (the cell's least value, which names it within its group) and ``before`` (rows of the group below it).
+    """
+    piece, cell = _bucket(F.col("v")), list(keys)
+    rows = rows.withColumns({"low": F.lit(None).cast("double"), "before": F.lit(0).cast("long")})
+    while True:
+        marked = rows.withColumn("piece", piece)
+        histogram = marked.groupBy(*cell, "piece", "before", "n_values").agg(
+            F.sum("n").alias("piece_n"), F.count("*").alias("kinds"), F.min("v").alias("next_low"), F.max("v").alias("next_high"))
+        so_far = Window.partitionBy(*(cell or [F.lit(0)])).orderBy("piece")  # pieces of one cell
+        histogram = histogram.withColumn("next_before", F.col("before") + F.sum("piece_n").over(so_far) - F.col("piece_n"))
+        inside = [
+            (r >= F.col("next_before")) & (r < F.col("next_before") + F.col("piece_n"))
+            for r in (rank(F.col("n_values")).cast("long") for rank in ranks.values())]
+        wanted = materialize(histogram.where(reduce(lambda a, b: a | b, inside)), "quantile-cells")
+        named = [*cell, "piece"]
+        kept = wanted.select(*[F.col(k).alias(f"w_{k}") for k in named], "next_low", "next_high", "next_before")
+        rows = materialize(marked.join(kept, _same(named, "w_")).select(
+            *keys, "v", "n", "n_values", F.col("next_low").alias("low"), F.col("next_high").alias("high"),
+            F.col("next_before").alias("before")), "quantile-values")
+        if wanted.where(F.col("kinds") > ORDERED_VALUES).isEmpty():
+            return rows
+        piece, cell = _piece(F.col("v"), F.col("low"), F.col("high")), [*keys, "low"]
+
+
 def values_at_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: Column,
-    ranks: dict[str, Callable[[Column], Column]],
-    weight: str | None = None,
+    df: DataFrame, keys: Sequence[str], value: Column, ranks: Ranks, weight: str | None = None,
 ) -> DataFrame:
     """Value at zero-based ranks per group; each rank is a function of the group size.
 
@@ -46,53 +97,22 @@ def values_at_ranks(
         .where(F.col("v").isNotNull())
         .groupBy(*keys, "v")
         .agg(F.sum("times").alias("n"))
-        .withColumn("bucket", _bucket(F.col("v")))
-    )
-    one_group = keys or [F.lit(0)]
-    by_bucket = Window.partitionBy(*one_group).orderBy("bucket")
-    whole = Window.partitionBy(*one_group)
-    histogram = (
-        counted.groupBy(*keys, "bucket")
-        .agg(F.sum("n").alias("bucket_n"))
-        .select(
-            *keys,
-            "bucket",
-            "bucket_n",
-            (F.sum("bucket_n").over(by_bucket) - F.col("bucket_n")).alias("before"),
-            F.sum("bucket_n").over(whole).alias("n_values"),
-        )
     )
-    for name, rank in ranks.items():
-        histogram = histogram.withColumn(f"rank_{name}", rank(F.col("n_values")).cast("long"))
-    holds_rank = F.lit(False)
-    for name in ranks:
-        r = F.col(f"rank_{name}")
-        holds_rank = holds_rank | ((r >= F.col("before")) & (r < F.col("before") +
-                                                             F.col("bucket_n")))
-    wanted = histogram.where(holds_rank).drop("bucket_n").withColumnsRenamed(
-        {k: f"wanted_{k}" for k in [*keys, "bucket"]}
-    )
-    inside = Window.partitionBy(*keys, "bucket").orderBy("v")
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"wanted_{k}")) for k in [*keys, "bucket"]],
-    )
-    located = (
-        counted.join(wanted, on)
-        .drop(*[f"wanted_{k}" for k in [*keys, "bucket"]])
-        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    )
-    picks = [
-        F.max(
-            F.when(
-                (F.col(f"rank_{name}") >= F.col("upto") - F.col("n"))
-                & (F.col(f"rank_{name}") < F.col("upto")),
-                F.col("v"),
-            )
-        ).alias(name)
-        for name in ranks
-    ]
-    return located.groupBy(*keys).agg(F.max("n_values").alias("n_values"), *picks)
+    counted = materialize(counted, "quantile-values")
+    sizes = counted.groupBy(*keys).agg(F.count("*").alias("kinds"), F.sum("n").alias("n_values"))
+    large = sizes.where(F.col("kinds") > ORDERED_VALUES)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    if large.isEmpty():
+        small = counted.withColumn("n_values", F.sum("n").over(whole))
+        return _pick(small, keys, keys, ranks, F.lit(0))
+    if not keys:
+        total = F.lit(large.first()["n_values"])
+        return _pick(_refined(counted.withColumn("n_values", total), keys, ranks), ["low"], keys, ranks, F.col("before"))
+    large = materialize(large.select(*[F.col(k).alias(f"l_{k}") for k in keys], "n_values"), "quantile-groups")
+    refined = _refined(counted.join(large, _same(keys, "l_")).select(*keys, "v", "n", "n_values"), keys, ranks)
+    found = _pick(refined, [*keys, "low"], keys, ranks, F.col("before"))
+    rest = counted.join(large, _same(keys, "l_"), "left_anti").withColumn("n_values", F.sum("n").over(whole))
+    return found.unionByName(_pick(rest, keys, keys, ranks, F.lit(0)))
 
 
 def exact_quantiles(
@@ -100,7 +120,7 @@ def exact_quantiles(
     weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per named fraction."""
-    ranks: dict[str, Callable[[Column], Column]] = {}
+    ranks: Ranks = {}
     for name, p in fractions.items():
         ranks[f"{name}_lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
         ranks[f"{name}_hi"] = lambda n, p=p: F.least(F.floor((n - 1) * F.lit(p)) + 1, n - 1)

@@ -102,6 +102,20 @@ def revision_meta(revisions: DataFrame, branches: DataFrame) -> DataFrame:
     return branches.join(meta, "target").withColumnRenamed("target", "revision_id")
 
 
+def snapshot_signals(revisions: DataFrame, branches: DataFrame) -> DataFrame:
+    """Commit signals of every snapshot from the graph: each is computed once, however often it was visited."""
+    return commit_signals(revision_meta(revisions, branches))
+
+
+def visits_of_graph(
+    visits: DataFrame, branches: DataFrame, revisions: DataFrame, entries: DataFrame
+) -> DataFrame:
+    """Every visit with the directory flags and commit signals of its snapshot, all from graph tables."""
+    kept = entries_of(entries, branches, revisions)
+    flags = name_flags(snapshot_entries(kept, branches, revisions))
+    return assemble_visits(visits, flags, snapshot_signals(revisions, branches))
+
+
 def snapshot_entries(entries: DataFrame, branches: DataFrame, revisions: DataFrame) -> DataFrame:
     """Directory entry names per snapshot, for all snapshots at once."""
     roots = (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,24 +62,46 @@ def build_alias_map(candidates: DataFrame) -> DataFrame:
 HOPS_PER_ROUND = 3
 
 
-def _follow(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
-    """Follow each pointer to its end; True when some never end.
+def _follow(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ends of all pointers that end, and those that never do, each pointing at a member of a cycle.
 
-    A round appends stored pointers to themselves several times, so reach grows by that factor
-    plus one each round.
+    A round lets each open pointer follow the pointers of its targets several times, so reach grows by that factor plus
+    one. Pointers that end leave the loop: only those that ended in a round are looked up in the next one, because
+    whatever points at them ends in the round itself. A path that ends has some name that ends in every round, so when
+    none does, all open pointers lead into cycles; they are on them once they have gone as many steps as there are
+    open names.
     """
-    pointers = edges.select(F.col("alias").alias("node"), F.col("canonical").alias("target"))
-    for _ in range(rounds):
-        step = pointers.select(F.col("node").alias("target"), F.col("target").alias("further"))
-        reached = pointers.select("node", "target", F.lit(False).alias("moved"))
+    active = edges.select(F.col("alias").alias("node"), F.col("canonical").alias("target"))
+    recent = active.limit(0)
+    ended, reach = [], 1
+    while True:
+        known = active.withColumn("final", F.lit(False)).unionByName(recent.withColumn("final", F.lit(True)))
+        step = known.select(F.col("node").alias("target"), F.col("target").alias("further"), "final")
+        moved = active.select("node", "target", F.lit(False).alias("done"))
         for _ in range(HOPS_PER_ROUND):
-            reached = reached.join(step, "target", "left").select(
-                "node", F.coalesce("further", "target").alias("target"),
-                F.col("further").isNotNull().alias("moved"))
-        pointers = materialize(reached, "alias-round")
-        if not pointers.where("moved").take(1):
-            return pointers, False
-    return pointers, True
+            # a target without a pointer of its own is an end; finished pointers stay as they are
+            met = moved.withColumnRenamed("target", "own").join(step, (F.col("own") == F.col("target")) & ~F.col("done"), "left")
+            moved = met.select(
+                "node", F.coalesce("further", "own").alias("target"),
+                (F.col("done") | F.coalesce("final", F.lit(True))).alias("done"))
+        moved = materialize(moved, "alias-round")
+        done = moved.where("done").select("node", "target")
+        last = recent.unionByName(done).select(F.col("node").alias("target"), F.col("target").alias("final"))
+        settled = materialize(
+            moved.where("NOT done").select("node", "target").join(last, "target", "left").select(
+                "node", F.coalesce("final", "target").alias("target"), F.col("final").isNotNull().alias("done")),
+            "alias-settled")
+        recent = settled.where("done").select("node", "target")
+        ended += [done, recent]
+        active = settled.where("NOT done").select("node", "target")
+        reach *= HOPS_PER_ROUND + 1
+        left = active.count()
+        if not left or (left <= reach and done.isEmpty() and recent.isEmpty()):
+            break
+    ends = ended[0]
+    for more in ended[1:]:
+        ends = ends.unionByName(more)
+    return ends, active
 
 
 def resolve_aliases(alias_map: DataFrame) -> DataFrame:
@@ -95,16 +115,15 @@ def resolve_aliases(alias_map: DataFrame) -> DataFrame:
         alias_map.where(F.col("alias") != F.col("canonical")).select("alias", "canonical"),
         "alias-edges",
     )
-    rounds = max(1, math.ceil(math.log(edges.count() + 2, HOPS_PER_ROUND + 1)))
-    ends, endless = _follow(edges, rounds)
-    if endless:
-        # after at least as many steps as there are names, an endless pointer is on its cycle
-        members = materialize(
-            ends.where("moved").select(F.col("target").alias("alias")).distinct(), "alias-cycles"
-        )
-        ends, _ = _follow(edges.join(members, "alias", "left_anti"), rounds + 1)
+    ends, endless = _follow(edges)
+    if not endless.isEmpty():
+        members = materialize(endless.select(F.col("target").alias("alias")).distinct(), "alias-cycles")
+        tails = edges.join(endless.select(F.col("node").alias("alias")), "alias", "left_semi").join(members, "alias", "left_anti")
         loops = members.select(F.col("alias").alias("node"), F.col("alias").alias("target"))
-        ends = ends.select("node", "target").unionByName(loops)
+        ends = ends.unionByName(loops)
+        tails = materialize(tails, "alias-tails")
+        if not tails.isEmpty():
+            ends = ends.unionByName(_follow(tails)[0])
     return ends.select(F.col("node").alias("alias"), F.col("target").alias("canonical"))
 
 

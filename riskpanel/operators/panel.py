@@ -200,23 +200,55 @@ def visit_months(visits: DataFrame, tie_breaker: str = "visit") -> DataFrame:
 
 
 def visit_index_rows(index: DataFrame, start: str) -> DataFrame:
-    """Archive index documents (entity, record_count) as one stacked row per entity."""
+    """Index documents as one stacked row per entity.
+
+    An archive index (entity, record_count) finds its origin if it counts any record. An API index says itself, in
+    ``origin_found`` and ``snapshot_found``; it is marked by ``is_api``. These flags hold for the whole history.
+    """
     first = F.lit(D.months_between_keys("1970-01", start) - 1 + 1970 * 12).cast("int")
+
+    def given(name: str, otherwise: Column) -> Column:
+        return F.coalesce(F.col(name), otherwise) if name in index.columns else otherwise
+
+    no = F.lit(False)
+    api = given("is_api", no)
+    counted = given("record_count", F.lit(0)) > 0
     return index.groupBy("entity").agg(
-        first.alias("month_no"), F.max(F.coalesce("record_count", F.lit(0))).alias("vis_indexed")
+        first.alias("month_no"), F.max(F.lit(True)).alias("vis_indexed"),
+        F.max(F.when(api, given("origin_found", no)).otherwise(counted)).alias("vis_origin"),
+        F.max(F.when(api, given("snapshot_found", no))).alias("vis_snapshot"),
     )
 
 
+def visits_with_fallback(
+    archive_visits: DataFrame, archive_index: DataFrame, api_visits: DataFrame, api_index: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Visits and index of two backends: the archive where it knows an entity, else the API.
+
+    API visits carry no attributes. An entity with API visits and no API index has found neither origin nor snapshot.
+    """
+    known = archive_visits.select("entity").unionByName(archive_index.select("entity")).distinct()
+    other_visits = api_visits.join(known, "entity", "left_anti")
+    named = api_index.select("entity", "origin_found", "snapshot_found").unionByName(
+        other_visits.select("entity", F.lit(False).alias("origin_found"), F.lit(False).alias("snapshot_found")).distinct())
+    other_index = named.join(known, "entity", "left_anti").withColumn("is_api", F.lit(True))
+    visits = archive_visits.unionByName(other_visits, allowMissingColumns=True)
+    index = archive_index.select("entity", "record_count").unionByName(other_index, allowMissingColumns=True)
+    return visits, index
+
+
 def visit_features(columns: Sequence[str]) -> dict[str, Column]:
     """As-of features: the latest visit at or before each month end supplies its record."""
     n = _zero(F.sum("vis_n").over(to_date()))
     ever = _zero(F.sum("vis_n").over(whole_history())) > 0
-    indexed = F.max("vis_indexed").over(whole_history()) if "vis_indexed" in columns else None
+    indexed, origin, snapshot = (
+        F.max(c).over(whole_history()) if c in columns else None
+        for c in ("vis_indexed", "vis_origin", "vis_snapshot"))
     first, last = F.min("vis_first").over(to_date()), F.max("vis_last").over(to_date())
     return {
         "swh_present_any": ever if indexed is None else ever | indexed.isNotNull(),
-        "swh_origin_found": ever if indexed is None else N.as_flag(indexed > 0),
-        "swh_has_snapshot_to_date": n > 0,
+        "swh_origin_found": ever if origin is None else N.as_flag(origin),
+        "swh_has_snapshot_to_date": n > 0 if snapshot is None else (n > 0) & F.coalesce(snapshot, F.lit(True)),
         "swh_visit_count_to_date": n,
         "swh_visits_this_month": _zero(F.col("vis_n")),
         "swh_visits_last_365d": _last_365_days("vis_n", "vis_n_last_day"),

@@ -100,14 +100,33 @@ def create_orc_table(df: DataFrame, name: str, path: str, partition_by: Sequence
     writer.saveAsTable(name)
 
 
-def register_archive_table(spark: SparkSession, table: str, name: str, location: str) -> None:
-    """Register landed ORC files as a typed table of the archive graph."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ARCHIVE_TABLES[table]}) "
-              f"USING ORC LOCATION '{location}'")
+def register_archive_table(
+    spark: SparkSession, table: str, name: str, location: str, partition: str | None = None
+) -> None:
+    """Register landed ORC files as a typed table of the archive graph.
+
+    ``partition`` names a string column that is in the folder names only; :func:`refresh_partitions` then makes
+    folders visible that were written by anyone.
+    """
+    columns = ARCHIVE_TABLES[table] + (f", {partition} STRING" if partition else "")
+    by = f" PARTITIONED BY ({partition})" if partition else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING ORC{by} LOCATION '{location}'")
+
+
+def register_archive(spark: SparkSession, prefix: str, names: dict[str, str] | None = None,
+                     partition: str | None = None) -> dict[str, str]:
+    """Register all tables of the archive graph below ``prefix/orc``; the names they got, by table."""
+    given = {table: (names or {}).get(table, table) for table in ARCHIVE_TABLES}
+    for table, name in given.items():
+        register_archive_table(spark, table, name, f"{prefix.rstrip('/')}/orc/{table}", partition)
+        if partition:
+            refresh_partitions(spark, name)
+    return given
 
 
 def refresh_partitions(spark: SparkSession, name: str) -> None:
-    spark.sql(f"MSCK REPAIR TABLE {name}")
+    """Add the folders that were written since to the catalogue, and drop those that are gone."""
+    spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
 
 
 def hash_prefix(key: Column, hashed: bool = True) -> Column:
