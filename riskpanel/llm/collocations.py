@@ -20,9 +20,9 @@ positive only counts a phrase that no bound asked for. All counts are exact.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +44,20 @@ NO_LANG = "und"
 MAP_BITS = 1 << 25
 CHUNK_WORDS = 1 << 21
 CHUNK_KINDS = 1 << 19
+PART = 1 << 18
+SENT_ROWS = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
+WHOLE = (1 << 64) - 1
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-_TO_MARKS = bytes.maketrans(_PIECE_ENDS + b"\t", b"\n" * len(_PIECE_ENDS) + b" ")
+MARK = b","
+_TO_MARKS = bytes.maketrans(_PIECE_ENDS + b"\t", MARK * len(_PIECE_ENDS) + b" ")
 COUNTS = "lang string, phrase string, n long"
 
 
 def tokens(text: bytes | None) -> list[bytes]:
-    """Words in order, with ``\\n`` where a piece ends; blanks side by side leave empty tokens."""
-    return (text or b"").lower().translate(_TO_MARKS).replace(b"\n", b" \n ").split(b" ")
+    """Words in order, with ``MARK``, which no word holds, where a piece ends."""
+    return (text or b"").lower().translate(_TO_MARKS).replace(MARK, b" " + MARK + b" ").split()
 
 
 def mixed(hashes: list[np.ndarray]) -> np.ndarray:
@@ -80,6 +84,14 @@ class Bitmap:
     def __init__(self, bits: np.ndarray) -> None:
         self.bits = bits
 
+        self.packed = bits.tobytes()
+
+    def has_word(self, own: int) -> bool:
+        """Whether the phrase of one word is in, as :func:`mixed` places it."""
+        out = (int(MIX) + own) & WHOLE
+        place = ((out ^ (out >> 32)) * int(MIX) & WHOLE) >> (64 - (MAP_BITS.bit_length() - 1))
+        return bool(self.packed[place >> 3] >> (place & 7) & 1)
+
     def has(self, places: np.ndarray) -> np.ndarray:
         return (self.bits[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
@@ -103,70 +115,136 @@ def bitmap_of(phrases: DataFrame) -> Bitmap:
     return Bitmap(bits)
 
 
+class Words(dict):
+    """Numbers of the frequent words of one language, given as they come up; -1 for all else and for marks."""
+
+    def __init__(self, lang: str, kinds: list[tuple[str, bytes, int]], common: Bitmap) -> None:
+        super().__init__({MARK: -1})
+        self.lang, self.seed, self.kinds, self.common = lang, lang_hash(lang), kinds, common
+
+    def __missing__(self, word: bytes) -> int:
+        own = word_hash(word, self.seed)
+        number = -1
+        if self.common.has_word(own):
+            number = len(self.kinds)
+            self.kinds.append((self.lang, word, own))
+        self[word] = number
+        return number
+
+
 class Chunk:
-    """Words of some texts as numbers, which also stand for the language; -1 parts pieces and texts."""
+    """Frequent words of some texts as numbers, which also stand for the language; -1 parts what is no phrase."""
+
+    def __init__(self, common: Bitmap) -> None:
+        self.common = common
+        self.kinds: list[tuple[str, bytes, int]] = []
+        self.words: dict[str, Words] = {}
+        self.empty()
 
-    def __init__(self) -> None:
-        number = count()
-        self.vocabularies: dict[str, defaultdict] = defaultdict(lambda: self.vocabulary(number))
+    def empty(self) -> None:
         self.parts: list[np.ndarray] = []
         self.size = 0
-
-    @staticmethod
-    def vocabulary(number: count) -> defaultdict:
-        return defaultdict(number.__next__, {b"\n": -1, b"": -2})
+        if sum(map(len, self.words.values())) >= CHUNK_KINDS:
+            self.kinds, self.words = [], {}
 
     def add(self, lang: str, text: bytes | None) -> None:
         own = tokens(text)
-        ids = np.fromiter(map(self.vocabularies[lang].__getitem__, own), np.int64, len(own))
-        self.parts += [ids[ids != -2], np.array([-1])]
+        if lang not in self.words:
+            self.words[lang] = Words(lang, self.kinds, self.common)
+        self.parts.append(np.fromiter(map(self.words[lang].__getitem__, own), np.int32, len(own)))
+        self.parts.append(np.array([-1], np.int32))
         self.size += len(own)
 
     def full(self) -> bool:
-        return self.size >= CHUNK_WORDS or sum(map(len, self.vocabularies.values())) >= CHUNK_KINDS
-
-    def kinds(self) -> tuple[pa.Array, pa.Array, np.ndarray]:
-        """Language, word and hash of each number."""
-        items = [(i, lang, w) for lang, own in self.vocabularies.items() for w, i in own.items() if i >= 0]
-        items.sort()
-        seeds = {lang: lang_hash(lang) for lang in self.vocabularies}
-        hashes = np.fromiter((word_hash(w, seeds[lang]) for _, lang, w in items), np.uint64, len(items))
-        return pa.array([x[1] for x in items], pa.string()), pa.array([x[2] for x in items], pa.binary()), hashes
-
-    def counted(self, length: int, wanted) -> pa.RecordBatch:
-        """Counts of the phrases of ``length`` words of which ``wanted(hashes of the words)`` holds."""
-        langs, words, hashes = self.kinds()
-        ids = np.concatenate([*self.parts, np.full(length, -1)])
-        slots = [ids[k : len(ids) - length + k + 1] for k in range(length)]
-        at = np.flatnonzero(np.logical_and.reduce([s >= 0 for s in slots]))
-        at = at[wanted([hashes[s[at]] for s in slots])] if len(at) else at
-        slots = [s[at] for s in slots]
+        return self.size >= CHUNK_WORDS or sum(map(len, self.words.values())) >= CHUNK_KINDS
+
+    def counted(self, length: int, wanted) -> Iterator[pa.RecordBatch]:
+        """Counts of the phrases of ``length`` words of which ``wanted(hashes of the words)`` holds, in small batches."""
+        hashes = np.array([k[2] for k in self.kinds], np.uint64)
+        ids = np.concatenate([*self.parts, np.full(length, -1, np.int32)])
+        inside = ids >= 0
+        last = len(ids) - length + 1
+        at = np.flatnonzero(np.logical_and.reduce([inside[k : last + k] for k in range(length)]))
+        if wanted is not None:
+            parts = [at[k : k + PART] for k in range(0, len(at), PART)]
+            at = np.concatenate([at[:0], *(p[wanted([hashes[ids[p + k]] for k in range(length)])] for p in parts)])
+        slots, n = distinct([ids[at + k].astype(np.int64) for k in range(length)], max(len(self.kinds), 1))
+        words = pa.array([k[1] for k in self.kinds], pa.binary())
+        langs = pa.array([k[0] for k in self.kinds], pa.string())
+        for k in range(0, len(n), SENT_ROWS):
+            own = [pa.array(s[k : k + SENT_ROWS]) for s in slots]
+            phrases = pc.binary_join_element_wise(*map(words.take, own), pa.scalar(b" ", pa.binary()))
+            columns = [langs.take(own[0]), phrases.cast(pa.string()), pa.array(n[k : k + SENT_ROWS], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+
+
+def distinct(slots: list[np.ndarray], kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns of numbers below ``kinds``, and how often each occurs."""
+    if kinds ** len(slots) < 1 << 62:
         key = slots[0]
-        for own in slots[1:-1]:  # numbers of prefixes and of words stay below 2 ** 31 each
-            key = np.unique(key * len(hashes) + own, return_inverse=True)[1]
-        key = key * len(hashes) + slots[-1] if length > 1 else key
-        _, first, n = np.unique(key, return_index=True, return_counts=True)
-        columns = [words.take(pa.array(s[first])) for s in slots]
-        phrases = columns[0] if length == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary()))
-        rows = [langs.take(pa.array(slots[0][first])), phrases.cast(pa.string()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(rows, ["lang", "phrase", "n"])
+        for own in slots[1:]:
+            key = key * kinds + own
+        key, n = np.unique(key, return_counts=True)
+        out = []
+        for _ in slots[1:]:
+            key, own = np.divmod(key, kinds)
+            out.append(own)
+        return [key, *reversed(out)], n
+    key = slots[0]
+    for own in slots[1:]:  # numbers of prefixes and of words stay below 2 ** 31 each
+        key = np.unique(key * kinds + own, return_inverse=True)[1]
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    return [s[first] for s in slots], n
+
+
+def lang_texts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes | None]]:
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
+        yield NO_LANG if lang is None else lang, text.as_py()
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(docs: DataFrame, length: int, wanted) -> DataFrame:
-    """``lang, phrase, n`` of the phrases of so many words that ``wanted`` lets pass, over whole texts."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``lang, phrase, n`` of all words of whole texts."""
+
+    def sums(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            own.pop(MARK, None)
+            rows = iter(own.items())
+            while part := list(islice(rows, SENT_ROWS)):
+                words, n = zip(*part)
+                columns = [pa.array([lang] * len(n), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for batch in batches:
+            for lang, text in lang_texts(batch):
+                counts[lang].update(tokens(text))
+                if sum(map(len, counts.values())) >= CHUNK_KINDS:
+                    yield from sums(counts)
+                    counts.clear()
+        yield from sums(counts)
+
+    return summed(docs.select("lang", "text").mapInArrow(counted, COUNTS))
+
+
+def phrase_counts(docs: DataFrame, length: int, common: Bitmap, wanted=None) -> DataFrame:
+    """``lang, phrase, n`` of the phrases of so many frequent words that ``wanted`` lets pass, over whole texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk()
+        chunk = Chunk(common)
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-                chunk.add(NO_LANG if lang is None else lang, text.as_py())
+            for lang, text in lang_texts(batch):
+                chunk.add(lang, text)
                 if chunk.full():
-                    yield chunk.counted(length, wanted)
-                    chunk = Chunk()
-        yield chunk.counted(length, wanted)
+                    yield from chunk.counted(length, wanted)
+                    chunk.empty()
+        yield from chunk.counted(length, wanted)
 
-    rows = docs.select("lang", "text").mapInArrow(counted, COUNTS)
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return summed(docs.select("lang", "text").mapInArrow(counted, COUNTS))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -249,11 +327,11 @@ def mine(docs: DataFrame, first: int = FIRST, least: int = LEAST) -> DataFrame:
     empty table, or one without frequent phrases, gives no rows. Columns other than lang and text are not read.
     """
     every = docs.select("lang", "text")
-    words = materialize(phrase_counts(every, 1, lambda h: np.ones(len(h[0]), bool)), "phrase-words")
+    words = materialize(word_counts(every), "phrase-words")
     totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     often = materialize(words.where(F.col("n") >= least), "phrase-frequent")
     common = bitmap_of(often)
-    pairs = phrase_counts(every, 2, lambda h: common.has(mixed([h[0]])) & common.has(mixed([h[1]])))
+    pairs = phrase_counts(every, 2, common)
     pairs = materialize(pairs.where(F.col("n") >= least), "phrase-pairs")
     scored = materialize(with_scores(pairs, often), "phrase-scored")
     bounds = materialize(with_bounds(pairs, often), "phrase-bounds")
@@ -271,14 +349,14 @@ def mine(docs: DataFrame, first: int = FIRST, least: int = LEAST) -> DataFrame:
         rows = every.withColumn("lang", F.coalesce("lang", F.lit(NO_LANG))).join(levels, "lang", "left_semi")
 
         grow, back = bitmap_of(ring(bounds, levels, "bound")), bitmap_of(ring(bounds, levels, "back"))
-        more = phrase_counts(rows, 3, lambda h, grow=grow, back=back: grow.has(mixed(h[:2])) | back.has(mixed(h[1:])))
+        more = phrase_counts(rows, 3, common, lambda h, grow=grow, back=back: grow.has(mixed(h[:2])) | back.has(mixed(h[1:])))
         more = more.where(F.col("n") >= least)
         threes = materialize((more if threes is None else threes.unionByName(more).distinct()), "phrase-threes")
         of_three = materialize(with_scores(threes, often.unionByName(pairs)), "phrase-scored")
 
         grow = bitmap_of(ring(with_bounds(threes, often), levels, "bound"))
         back = bitmap_of(ring(of_three, levels, "score"))
-        more = phrase_counts(rows, 4, lambda h, grow=grow, back=back: grow.has(mixed(h[:3])) | back.has(mixed(h[1:])))
+        more = phrase_counts(rows, 4, common, lambda h, grow=grow, back=back: grow.has(mixed(h[:3])) | back.has(mixed(h[1:])))
         more = more.where(F.col("n") >= least)
         fours = materialize((more if fours is None else fours.unionByName(more).distinct()), "phrase-fours")
         of_four = with_scores(fours, often.unionByName(pairs).unionByName(threes))
