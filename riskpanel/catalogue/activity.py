@@ -53,10 +53,7 @@ _MONTHS = f"am AS (SELECT entity, month, {_MONTH_COUNTS} FROM events_n GROUP BY
 @register("activity_month", f"""WITH {B.ACTIVITY_SQL}, {_MONTHS}
 SELECT am.*, TRUE AS {PX}present, 5.0::DOUBLE AS {PX}sample_percent FROM am""")
 def activity_month(spark, sf_dir):
-    events = B.activity_events(spark, sf_dir)
-    months = A.activity_counts(events).join(
-        A.source_window_counts(events), ["entity", "month"], "left"
-    )
+    months = A.counts_of_facts(A.event_facts(B.activity_events(spark, sf_dir)))
     return months.drop(PX + "owner_push_fraction")
 
 

@@ -343,6 +343,32 @@ def rule_score(spark, sf_dir):
     return B.rounded(_scores(spark, sf_dir).select("entity", "score", *_POINTS))
 
 
+_HELD = "[" + ", ".join(f"'{w}'" for w in K.SENSITIVE_NAME_WORDS) + "]"
+_REASONS = {
+    "advisory_history": "'advisories ' || n || ', in 90 days ' || n90 || ', in 365 days ' || n365",
+    "advisory_severity": "'severity bonus ' || bonus",
+    "staleness": "concat_ws(', ', 'days since commit ' || CAST(floor(v.days_since_last_commit) AS BIGINT), "
+                 f"'days since release ' || date_diff('day', released, DATE '{AS_OF}'))",
+    "active_warnings": "'active warnings ' || active",
+    "governance": "'missing ' || concat_ws(', ', CASE WHEN NOT v.has_security_md THEN 'security policy' END, "
+                  "CASE WHEN NOT (v.has_dependabot OR v.has_github_actions) THEN 'automation' END, "
+                  "CASE WHEN NOT v.has_tests_directory THEN 'tests' END, CASE WHEN NOT v.has_changelog THEN 'changelog' END)",
+    "dependency": "'dependency points ' || r.dependency_risk_points",
+    "health_score": "'health ' || CAST(floor(health) AS BIGINT)",
+    "security_sensitivity": f"'name holds ' || array_to_string(list_filter({_HELD}, lambda w: contains(lower(b.entity), w)), ', ')",
+}
+
+
+@register("rule_reasons", f"""{_RULE_SQL}, said AS (""" + " UNION ALL ".join(
+    f"""SELECT t.entity, '{c} +' || CAST(points_{c} AS BIGINT) || ' of {K.RULE_CAPS[c]}: ' || {text} AS reason
+  FROM t JOIN base b ON b.entity = t.entity LEFT JOIN roll r ON r.parent = t.entity WHERE points_{c} > 0"""
+    for c, text in _REASONS.items()) + """)
+SELECT * FROM said UNION ALL SELECT entity, 'no rule matched: default score' FROM t WHERE total = 0""")
+def rule_reasons(spark, sf_dir):
+    """Every reason of every entity: points, cap and the counts behind them."""
+    return _scores(spark, sf_dir).select("entity", F.explode("reasons").alias("reason"))
+
+
 def _scores(spark, sf_dir):
     bundle, risks = _edges_and_risk(spark, sf_dir)
     totals = S.dependency_rollup(risks).select("entity", "dependency_risk_points")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskpanel import constants as K
 from riskpanel.catalogue import bindings as B
-from riskpanel.catalogue import register
+from riskpanel.catalogue import ORACLES, register
 from riskpanel.catalogue.panel import _TO_DATE, _labelled
 from riskpanel.operators import ranking as R
 
@@ -295,6 +295,12 @@ def metric_diff(spark, sf_dir):
     return B.rounded(R.metric_diff(_runs(spark, sf_dir, 0), _runs(spark, sf_dir, 1)))
 
 
+@register("largest_movers", f"""SELECT model, average_precision_delta FROM ({ORACLES['metric_diff']})
+WHERE average_precision_delta IS NOT NULL ORDER BY abs(average_precision_delta) DESC, model LIMIT 5""")
+def largest_movers(spark, sf_dir):
+    return R.largest_movers(metric_diff(spark, sf_dir))
+
+
 @register("metric_table", f"""WITH {_RUNS}
 SELECT model AS run, CAST(n AS BIGINT) AS features, CAST(n AS BIGINT) AS train_rows,
   CASE WHEN x > 0 THEN CAST(x AS BIGINT) ELSE 0 END AS train_pos,

@@ -11,6 +11,7 @@ from riskpanel.functions import numbers as N
 from riskpanel.functions import text as T
 from riskpanel.functions import urls as U
 from riskpanel.functions.quantiles import exact_quantiles
+from riskpanel.session import materialize
 
 PAYLOAD_SCHEMA = (
     "action STRING, ref_type STRING, "
@@ -137,8 +138,8 @@ def _flags() -> dict[str, Column]:
     }
 
 
-def tested_events(events: DataFrame) -> DataFrame:
-    """Each test once per event with a usable key: what :func:`actor_measures` counts."""
+def tested_events(events: DataFrame, *more: Column) -> DataFrame:
+    """Each test once per event with a usable key: what :func:`actor_measures` counts, and ``more`` columns."""
     keyed = events.where(
         T.blank_to_null(F.col("entity").cast("string")).isNotNull()
         & T.blank_to_null(F.col("event_yyyymm")).isNotNull()
@@ -154,8 +155,8 @@ def tested_events(events: DataFrame) -> DataFrame:
         F.lower(F.trim("ref_type")).alias("ref"), "pr_merged",
         T.mentions_any(F.col("text_blob"), K.SECURITY_KEYWORDS).alias("security"),
         T.mentions_any(F.col("text_blob"), K.HOTFIX_KEYWORDS).alias("hotfix"),
-        F.coalesce("event_ts", F.col("event_date").cast("timestamp"), F.to_timestamp(F.trim("event_yyyymm"), "yyyy-MM"))
-        .alias("event_time"),
+        F.coalesce("event_ts", F.col("event_date").cast("timestamp"), F.try_to_timestamp(F.trim("event_yyyymm"), F.lit("yyyy-MM")))
+        .alias("event_time"), *more,
     )
 
 
@@ -219,47 +220,65 @@ def activity_counts(events: DataFrame) -> DataFrame:
     return months_of_actors(by_actor)
 
 
-def source_window_counts(events: DataFrame) -> DataFrame:
-    """Number of distinct collection windows that contributed to an (entity, month)."""
-    start, end = (T.blank_to_null(F.col(f"source_window_{x}_yyyymmdd")) for x in ("start", "end"))
-    return (
-        events.where(T.blank_to_null(F.col("event_yyyymm")).isNotNull())
-        .select("entity", F.trim("event_yyyymm").alias("month"), start.alias("s"), end.alias("e"))
-        .distinct()
-        .groupBy("entity", "month")
-        .agg(F.count(F.lit(1)).alias(K.ACTIVITY_PREFIX + "source_window_count"))
-    )
+def _window_columns() -> list[Column]:
+    return [T.blank_to_null(F.col(f"source_window_{x}_yyyymmdd")).alias(a) for x, a in (("start", "s"), ("end", "e"))]
 
 
-def resolution_times(events: DataFrame) -> DataFrame:
-    """Median and 90th percentile hours from opening to merge and to close."""
+def _timing_columns() -> list[Column]:
+    """What was resolved, if anything, and in how many hours; nothing that ended before it began."""
     pull = (F.col("event_type") == "PullRequestEvent") & (F.col("pr_merged") == F.lit(True))
     issue = (F.col("event_type") == "IssuesEvent") & (F.lower(F.trim("action")) == "closed")
     opened = F.when(pull, F.col("pr_created_ts")).when(issue, F.col("issue_created_ts"))
     done = F.when(pull, F.col("pr_closed_ts")).when(issue, F.col("issue_closed_ts"))
-    timed = (
-        events.where(pull | issue)
-        .select("entity", F.trim("event_yyyymm").alias("month"),
-                F.when(pull, "pr_merge").otherwise("issue_close").alias("kind"),
-                opened.alias("opened"), done.alias("done"))
-        .where(F.col("done") > F.col("opened"))
-    )
+    timed = (pull | issue) & (done > opened)
+    return [
+        F.when(timed, F.when(pull, "pr_merge").otherwise("issue_close")).alias("resolved"),
+        F.when(timed, D.duration_hours(opened, done)).alias("hours"),
+    ]
+
+
+def event_facts(events: DataFrame) -> DataFrame:
+    """What all monthly measures need of each event, in one pass over the wide events, written once.
+
+    Texts are tested and left behind here; counts, windows and durations read the narrow table.
+    """
+    return materialize(tested_events(events, *_window_columns(), *_timing_columns()).drop("event_time"), "event-facts")
+
+
+def _windows(facts: DataFrame) -> DataFrame:
+    return facts.select("entity", "month", "s", "e").distinct().groupBy("entity", "month").agg(
+        F.count(F.lit(1)).alias(K.ACTIVITY_PREFIX + "source_window_count"))
+
+
+def source_window_counts(events: DataFrame) -> DataFrame:
+    """Number of distinct collection windows that contributed to an (entity, month)."""
+    return _windows(
+        events.where(T.blank_to_null(F.col("event_yyyymm")).isNotNull())
+        .select("entity", F.trim("event_yyyymm").alias("month"), *_window_columns()))
+
+
+def _durations(facts: DataFrame) -> DataFrame:
     hours = exact_quantiles(
-        timed, ["entity", "month", "kind"], D.duration_hours(F.col("opened"), F.col("done")),
-        {"p50": 0.5, "p90": 0.9},
-    )
+        facts.where(F.col("resolved").isNotNull()), ["entity", "month", "resolved"], F.col("hours"), {"p50": 0.5, "p90": 0.9})
     return hours.groupBy("entity", "month").agg(*[
-        F.max(F.when(F.col("kind") == kind, F.col(p)))
+        F.max(F.when(F.col("resolved") == kind, F.col(p)))
         .alias(f"{K.ACTIVITY_PREFIX}{kind}_time_{p}_hours")
         for kind in ("pr_merge", "issue_close") for p in ("p50", "p90")
     ])
 
 
+def resolution_times(events: DataFrame) -> DataFrame:
+    """Median and 90th percentile hours from opening to merge and to close."""
+    return _durations(events.select("entity", F.trim("event_yyyymm").alias("month"), *_timing_columns()))
+
+
+def counts_of_facts(facts: DataFrame) -> DataFrame:
+    """Counts and source windows per (entity, month)."""
+    by_actor = facts.groupBy("entity", "month", "actor").agg(*actor_measures())
+    return months_of_actors(by_actor).join(_windows(facts), ["entity", "month"], "left")
+
+
 def activity_months(events: DataFrame) -> DataFrame:
-    """All activity base columns per (entity, month); the three parts share their join keys."""
-    keys = ["entity", "month"]
-    return (
-        activity_counts(events)
-        .join(source_window_counts(events), keys, "left")
-        .join(resolution_times(events), keys, "left")
-    )
+    """All activity base columns per (entity, month); the wide events are read once."""
+    facts = event_facts(events)
+    return counts_of_facts(facts).join(_durations(facts), ["entity", "month"], "left")

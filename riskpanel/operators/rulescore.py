@@ -136,6 +136,35 @@ def dependency_rollup(risks: DataFrame) -> DataFrame:
         "dependency_details_top")
 
 
+def _evidence(released: Column, words: Column, as_of: str) -> dict[str, Column]:
+    """What each component's points rest on, in words and counts."""
+    def told(label: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{label} "), value.cast("long").cast("string"))
+
+    missing = F.concat_ws(
+        ", ", F.when(~_known("swh_has_security_md"), "security policy"),
+        F.when(~(_known("swh_has_dependabot") | _known("swh_has_github_actions")), "automation"),
+        F.when(~_known("swh_has_tests_directory"), "tests"), F.when(~_known("swh_has_changelog"), "changelog"))
+    return {
+        "advisory_history": F.concat_ws(
+            ", ", told("advisories", _zero(F.col("advisory_count"))), told("in 90 days", _zero(F.col("advisory_count_last_90d"))),
+            told("in 365 days", _zero(F.col("advisory_count_last_365d")))),
+        "advisory_severity": told("severity bonus", F.col("advisory_severity_bonus")),
+        "staleness": F.concat_ws(
+            ", ", told("days since commit", F.floor(F.col("swh_days_since_last_commit").try_cast("double"))),
+            told("days since release", F.datediff(F.to_date(F.lit(as_of)), released))),
+        "active_warnings": told("active warnings", F.col("snapshot_active_security_warning_count")),
+        "governance": F.concat(F.lit("missing "), missing),
+        "dependency": told("dependency points", F.col("dependency_risk_points")),
+        "health_score": told("health", F.floor(F.col("healthscore_value").try_cast("double"))),
+        "security_sensitivity": F.concat(F.lit("name holds "), F.array_join(words, ", ")),
+    }
+
+
+def _known(flag: str) -> Column:
+    return F.coalesce(F.col(flag), F.lit(False))
+
+
 def rule_score(bundle: DataFrame, as_of: str, name: str = "entity") -> DataFrame:
     """Score of every bundle row; ``dependency_risk_points`` comes from the roll-up."""
     released = D.iso_date(F.col("snapshot_latest_release_timestamp"))
@@ -157,14 +186,16 @@ def rule_score(bundle: DataFrame, as_of: str, name: str = "entity") -> DataFrame
         "security_sensitivity": F.when(
             F.size(words) > 0, K.RULE_CAPS["security_sensitivity"]).otherwise(0),
     }
+    evidence = _evidence(released, words, as_of)
     scored = bundle.select(
         "*", *[v.cast("int").alias(f"points_{k}") for k, v in components.items()],
-        words.alias("sensitive_words"))
+        *[v.alias(f"evidence_{k}") for k, v in evidence.items()], words.alias("sensitive_words"))
     total = sum((F.col(f"points_{k}") for k in components), F.lit(0))
     reasons = F.filter(
         F.array(*[
             F.when(F.col(f"points_{k}") > 0,
-                   F.concat(F.lit(f"{k} +"), F.col(f"points_{k}").cast("string")))
+                   F.concat(F.lit(f"{k} +"), F.col(f"points_{k}").cast("string"), F.lit(f" of {K.RULE_CAPS[k]}: "),
+                            F.col(f"evidence_{k}")))
             for k in components]),
         lambda r: r.isNotNull())
     final = F.when(total == 0, K.RULE_DEFAULT_SCORE).otherwise(F.least(total, F.lit(100)))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
@@ -15,7 +16,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from riskpanel.operators import permutation as I
 from riskpanel.operators import splits as S
 from riskpanel.operators import trees as T
 from riskpanel.operators.bundle import align_to_model
-from riskpanel.session import materialize
+from riskpanel.session import materialize, shared_dir
 
 # --- fixed values: model settings; 30 is the deepest tree that MLlib grows ---
 MODEL_DEFAULTS = {
@@ -42,6 +43,8 @@ MODEL_DEFAULTS = {
 BOOST_POSITIVE_WEIGHT = 18.0
 #: Feature values that one training task reads in each iteration.
 PART_VALUES = 2_000_000
+#: Models that are fitted at a time.
+FITS_TOGETHER = 4
 FAMILIES = {
     "advisory_only": (("advisory_",), True),
     "gharchive_only": (("gharchive_",), True),
@@ -122,6 +125,28 @@ def _features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return assembler.transform(df)
 
 
+def run_together(spark: SparkSession, jobs: Sequence[Callable[[], object]], parallelism: int = FITS_TOGETHER) -> list:
+    """Results of independent jobs in their order, some at a time; each has a scheduler pool of its own.
+
+    Fits are many short Spark jobs, so several of them fill the tasks that one leaves idle. Threads inherit the
+    caller's job group, tags and description, so cancelling the group cancels all of them.
+    """
+    def in_pool(at: int) -> object:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{at % parallelism}")
+        return jobs[at]()
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(in_pool), at) for at in range(len(jobs))]
+        return [w.result() for w in waiting]
+
+
+def keep_lineage_short(spark: SparkSession) -> None:
+    """Boosting checkpoints its residuals only if the context has a folder for it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(spark))
+
+
 def fit_and_score(
     prepared: DataFrame, columns: Sequence[str], name: str, **settings
 ) -> Trained:
@@ -133,6 +158,7 @@ def fit_and_score(
         settings.setdefault("regParam", 1.0 / max(1, total))
     rows = _features(train, columns).select(
         "features", "label", weight_column(name, weights).alias("weight"))
+    keep_lineage_short(train.sparkSession)
     values = (weights["n_pos"] + weights["n_neg"]) * max(1, len(columns))
     rows = rows.coalesce(max(1, -(-values // PART_VALUES))).persist(StorageLevel.MEMORY_AND_DISK)
     model = get_model(name, **settings).fit(rows)
@@ -237,7 +263,7 @@ def global_importance(trained: Trained, test: DataFrame, by: str = "model") -> l
 
 def subset_study(
     spark: SparkSession, prepared: DataFrame, full: Trained, sizes: Sequence[int] = K.SUBSET_SIZES,
-    parallelism: int = 2, rank_only: bool = False, **settings,
+    parallelism: int = FITS_TOGETHER, rank_only: bool = False, **settings,
 ) -> DataFrame:
     """Average precision of the top-n feature subsets against the full model.
 
@@ -259,8 +285,7 @@ def subset_study(
         return (f"top_{size}", len(columns), ap, q["roc_auc"], retention,
                 retention is not None and retention >= 0.90)
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = list(pool.map(run, wanted))
+    rows = run_together(spark, [partial(run, size) for size in wanted], parallelism)
     rows.append(("full", len(full.columns), full_ap, full.metrics["roc_auc"], 1.0, True))
     return spark.createDataFrame(
         rows, "subset STRING, n_features INT, average_precision DOUBLE, roc_auc DOUBLE, "
@@ -276,7 +301,13 @@ def ablation_grid(
 
     The matrix of a family and split is prepared once and shared by its models.
     """
-    rows = []
+    def cell(prepared: DataFrame, columns: list[str], model: str, family: str, strategy: str) -> tuple:
+        trained = fit_and_score(prepared, columns, model, **(settings or {}).get(model, {}))
+        m = evaluate(trained, prepared)
+        return (f"{model}_{family}_{strategy}", model, family, strategy, m["feature_count"], m["train_row_count"],
+                m["test_row_count"], m["roc_auc"], m["average_precision"])
+
+    jobs = []
     for family in families:
         prefixes, keep_time = FAMILIES[family]
         table = labelled if prefixes is None else S.family_projection(labelled, prefixes, keep_time)
@@ -284,12 +315,8 @@ def ablation_grid(
             table.where(F.col(target).isNotNull()), target, None, family == "full_cleaned")
         for strategy in strategies:
             prepared = prepare(table, target, columns, strategy=strategy, test_start=test_start)
-            for model in models:
-                trained = fit_and_score(prepared, columns, model, **(settings or {}).get(model, {}))
-                m = evaluate(trained, prepared)
-                rows.append((f"{model}_{family}_{strategy}", model, family, strategy,
-                             m["feature_count"], m["train_row_count"], m["test_row_count"],
-                             m["roc_auc"], m["average_precision"]))
+            jobs += [partial(cell, prepared, columns, model, family, strategy) for model in models]
+    rows = run_together(spark, jobs)
     return spark.createDataFrame(
         rows, "run STRING, model STRING, family STRING, split STRING, n_features INT, "
               "train_rows LONG, test_rows LONG, roc_auc DOUBLE, average_precision DOUBLE")
@@ -422,13 +449,14 @@ def compare_models(
     settings: dict[str, dict] | None = None,
 ) -> DataFrame:
     """Ranking quality of several models on one prepared table."""
-    rows = []
-    for name in models:
+    def one(name: str) -> tuple:
         preds = fit_and_score(prepared, columns, name, **(settings or {}).get(name, {})).predictions
         q = R.ranking_quality(preds).first()
         at = {r["k"]: r["precision"] for r in R.precision_at(preds, (10, 25, 50)).collect()}
-        rows.append((name, q["average_precision"], q["roc_auc"], at.get(10), at.get(25), at.get(50),
-                     q["pos"], q["n"], q["pos"] / q["n"] if q["n"] else 0.0))
+        return (name, q["average_precision"], q["roc_auc"], at.get(10), at.get(25), at.get(50),
+                q["pos"], q["n"], q["pos"] / q["n"] if q["n"] else 0.0)
+
+    rows = run_together(spark, [partial(one, name) for name in models])
     return spark.createDataFrame(
         rows, "model STRING, average_precision DOUBLE, roc_auc DOUBLE, precision_at_10 DOUBLE, "
               "precision_at_25 DOUBLE, precision_at_50 DOUBLE, n_positive_test LONG, "
