@@ -164,3 +164,31 @@ def test_terms_far_from_the_entity_and_without_it(spark):
     assert got[50].spans == "term:5:14,term:24:33" and got[50].base_sha256 == hashlib.sha256(b"").hexdigest()
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, told + alone + rest)).collect()}
     assert "anzibara" not in (clean[0] + clean[50]).lower() and clean[100] == rest[0][1]
+
+
+def test_very_long_candidates(spark):
+    """Hundreds of thousands of characters in one candidate: same entropy as counted plainly, found and masked."""
+    import math
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    dull = "".join(rng.choice("kz7") for _ in range(200_000))
+    keen = dull[:150_000] + "q7Zp0LxW3vNd8RtY5mKc2HsB9fJg" + dull[150_000:]
+
+    def best(t):
+        counts, top = Counter(t[:20]), 0.0
+        for at in range(20, len(t) + 1):
+            top = max(top, -sum(c / 20 * math.log2(c / 20) for c in counts.values() if c))
+            if at < len(t):
+                counts[t[at]] += 1
+                counts[t[at - 20]] -= 1
+        return top
+
+    rows = spark.createDataFrame([(dull,), (keen,)], "t string").select(secret_scan.windowed_entropy(F.col("t")).alias("e"))
+    assert [r.e for r in rows.collect()] == pytest.approx([best(dull), best(keen)], abs=1e-6)
+    docs = frame(spark, [(1, f"a {dull} b", None, None), (2, f"a {keen} b", None, None)])
+    assert {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()} == {1: "", 2: f"entropy:2:{2 + len(keen)}"}
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}[2] == "a [SECRET] b"
