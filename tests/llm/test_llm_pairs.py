@@ -187,3 +187,26 @@ def test_tree_bounds_hold():
     bounds = tree.bounds(queries)
     for leaf, (a, b) in enumerate(zip(tree.edges[:-1], tree.edges[1:])):
         assert ((queries @ tree.points[a:b].T).max(axis=1) <= bounds[:, leaf]).all()
+
+
+def test_top_k_of_components_of_any_size(spark, monkeypatch):
+    """Integer inner products of Python, for components up to the ends of doubles, with ties and several shards."""
+    import math
+    import random
+    from fractions import Fraction
+
+    monkeypatch.setattr(topk, "SHARD_ROWS", 7)
+    monkeypatch.setattr(topk, "LEAF_ROWS", 3)
+    rng = random.Random(8)
+    rows = [(50, [1.0, 1.0]), (1, [2e6, 1.0]), (2, [1.0, 1.0]), (3, [2.0**40, -(2.0**40)]), (4, [2.0**40, -(2.0**40) + 1]),
+            (100, [2.0**41, 3.0]), (5, [1.7e308, 1e300]), (6, [1.7e308, 2e300]), (150, [-1.5e308, 4.0]), (7, [1e-300, -1e-300])]
+    rows += [(8 + i, [rng.choice([-1, 1]) * 10 ** rng.uniform(-3, 30), rng.uniform(-1, 1)]) for i in range(25)]
+    rows += [(60, [float("nan"), 1.0]), (61, [float("inf"), 1.0]), (62, [None, 1.0]), (63, None)]
+    ints = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
+    limit = (1 << 63) - 1
+    expected = set()
+    for q in (50, 100, 150):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:5]
+        expected |= {(q, rank, i, max(-limit - 1, min(limit, -s))) for rank, (s, i) in enumerate(scores, 1)}
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {tuple(r) for r in got} == expected
