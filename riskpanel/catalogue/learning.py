@@ -170,10 +170,18 @@ def subset_study(spark, sf_dir):
     return M.subset_study(spark, prepared, trained)
 
 
-@register("ablation_grid")
-def ablation_grid(spark, sf_dir):
-    return M.ablation_grid(
-        spark, _full(spark, sf_dir), list(M.MODEL_DEFAULTS), list(M.FAMILIES), ["time", "group_time"], B.TEST_START)
+def _ablation(model):
+    def cells(spark, sf_dir):
+        return M.ablation_grid(
+            spark, _full(spark, sf_dir), [model], list(M.FAMILIES), ["time", "group_time"], B.TEST_START)
+
+    cells.__name__ = f"ablation_{model}"
+    cells.__doc__ = f"The 16 cells of one model of the 64-cell grid, with its full settings: {model}."
+    return cells
+
+
+for _model in M.MODEL_DEFAULTS:
+    register(f"ablation_{_model}")(_ablation(_model))
 
 
 @register("embargo_backtest")
