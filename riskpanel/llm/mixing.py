@@ -188,9 +188,12 @@ def mix_sources(
     share: float = 1.5,
     max_repeats: int = 2,
     seed: int = 17,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """The mix of ``docs``: ``doc_id, source, size, source_size, target, taken``, a row for each row.
 
+    ``keep`` names further columns of ``docs`` that stay with their rows, after the others.
+
     ``source`` is a column of names, or of arrays of names for documents that several sources hold;
     such a document counts in the size of each, and serves them out of one capacity. A null name is
     a source of its own and comes last; an array that is null or empty is that source alone. Weights
@@ -209,6 +212,7 @@ def mix_sources(
             named.alias("members"),
             word_count(F.col(text)).alias("size"),
             seeded_order(F.col(doc_id), seed).alias("place"),
+            F.struct(*keep).alias("row") if keep else F.lit(None).cast("string").alias("row"),
         ).withColumn("pattern", F.to_json(F.struct("members"), {"ignoreNullFields": "false"})),
         "mix-sizes",
     )
@@ -237,7 +241,7 @@ def mix_sources(
         ],
         "pattern string, words long, flow long, source_size long, target double",
     )
-    drawn = draw(sized.select("key", "pattern", "size", "place"), plan.select("pattern", "words", "flow"))
+    drawn = draw(sized.select("key", "pattern", "size", "place", "row"), plan.select("pattern", "words", "flow"))
     shown = "array<string>" if docs.schema[source].dataType.typeName() == "array" else "string"
     member = F.from_json("pattern", "members array<string>")["members"]
     return drawn.join(F.broadcast(plan.select("pattern", "source_size", "target")), "pattern").select(
@@ -247,9 +251,21 @@ def mix_sources(
         "source_size",
         "target",
         "taken",
+        *[F.col("row")[c].alias(c) for c in keep],
     )
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of which the mix takes anything, with their columns and ``size, source_size, target, taken``.
+
+    A column of ``docs`` with one of those four names gives way.
+    """
+    added = ["size", "source_size", "target", "taken"]
+    own = [c for c in docs.columns if c not in added]
+    mix = mix_sources(docs, keep=[c for c in own if c not in ("doc_id", "source")])
+    return mix.where("taken > 0").select(*own, *added)
+
+
 #: DuckDB SQL for the contract's mix of ``documents``.
 SQL = r"""
 WITH sized AS (
