@@ -39,8 +39,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document; documents of which it takes none go."""
-    return mixing.mix_sources(docs).where("taken > 0")
+    """The mixed corpus: its documents, texts included, and the words to take of each; the others go."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
