@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskpanel.llm.common import spread_join
 from riskpanel.session import materialize
 
 SHINGLE = 5
@@ -256,9 +257,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     signed = materialize(signatures(docs), "dup-signatures")
     known = signed.where("doc_id is not null")
-    first = known.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    first = materialize(first, "dup-classes")
-    member = known.join(first, "class", "left").select(
+    least = F.min(F.when(F.col("n_shingles") > 0, F.col("doc_id"))).alias("rep")
+    first = materialize(known.groupBy("class").agg(least, F.count("*").alias("n_rows")), "dup-classes")
+    total = known.count()
+    member = spread_join(known, first, "class", total).select(
         "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "class", "s1", "s2", "bits", "bands"
     )
     classes = materialize(
@@ -270,7 +272,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("a"), F.col("rep").alias("b")
     ).where("a <> b").distinct()
     linked = linked_classes(classes, docs.where("doc_id is not null").select("doc_id", "text"), materialize(given, "dup-given"))
-    out = member.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
+    sizes = member.groupBy("rep").agg(F.count("*").alias("n_rows"))
+    placed = materialize(sizes.join(linked.withColumnRenamed("node", "rep"), "rep", "left"), "dup-components")
+    out = spread_join(member, placed, "rep", total).select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
     )
     alone = signed.where("doc_id is null").select(
