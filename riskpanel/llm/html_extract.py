@@ -5,7 +5,7 @@ the like, and characters of links, count nothing. Sums of text lengths over wind
 surge where the main text begins and dive to nothing where it ends; the lines between a surge and its
 dive are kept. Where a page has article or main elements, only lines inside them have a length, and any
 text is a surge; otherwise a surge needs ``SURGE`` characters, and regions far smaller than the largest
-are left out.
+are left out. An advert or form between lines of one element does not part them: they are one region.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ NOT_ARTICLE = frozenset(
     "login share sharing social related recommended recommendations pagination pager comment comments commentlist "
     "disqus respond replies widget widgets toolbar search".split()
 )
+#: First words of a class that say what a page or its text has or lacks, not what the element is.
+ABOUT_OTHERS = {"no", "not", "has", "have", "with", "without", "hide", "show", "after", "before"}
 WHOLE_NAMES = {"header", "site-header", "page-header", "top-bar", "topbar", "skip-link"}
 
 
@@ -66,53 +68,60 @@ def not_article(attributes: str) -> bool:
                 return True
         elif name in ("class", "id", "role"):
             for word in value.split():
-                if word in WHOLE_NAMES or not NOT_ARTICLE.isdisjoint(re.split(r"[^a-z0-9]+", word)):
+                parts = re.split(r"[^a-z0-9]+", word)
+                if word in WHOLE_NAMES or parts[0] not in ABOUT_OTHERS and not NOT_ARTICLE.isdisjoint(parts):
                     return True
     return False
 
 
 class Lines:
-    """Lines of a page: text, its length outside links, and whether it stands in an article."""
+    """Lines of a page: text, its length outside links, whether it stands in an article, and the element that holds it."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool]] = []
+        self.rows: list[tuple[str, int, bool, int]] = []
         self.parts: list[str] = []
         self.free = 0
+        #: Dropped elements that hold an article or main element, by their number in the page.
+        self.around: set[int] = set()
 
     def add(self, text: str, linked: bool) -> None:
         self.parts.append(text)
         if not linked:
             self.free += len(text.strip())
 
-    def end(self, scoped: bool) -> None:
+    def end(self, scoped: bool, holder: int) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split()) if self.parts else ""
         if text:
-            self.rows.append((text, self.free, scoped))
+            self.rows.append((text, self.free, scoped, holder))
         self.parts, self.free = [], 0
 
-    def gap(self, scoped: bool) -> None:
+    def gap(self, scoped: bool, holder: int) -> None:
         """Room for what was left out, so that windows over it are empty."""
-        self.end(scoped)
+        self.end(scoped, holder)
         if self.rows and self.rows[-1][0]:
-            self.rows.extend([("", 0, False)] * WIDTH)
+            self.rows.extend([("", 0, False, holder)] * WIDTH)
 
 
-def page_lines(page: str) -> Lines:
+def page_lines(page: str, spared: frozenset[int] = frozenset()) -> Lines:
+    """The lines of a page; elements whose number is in ``spared`` are not dropped for their names."""
     lines = Lines()
-    opened: list[tuple[str, bool]] = []
+    opened: list[tuple[str, bool, int]] = []
     depth: dict[str, int] = {}
-    dropping = scope = at = links = 0
+    dropping = scope = at = links = number = 0
+
+    def holder() -> int:
+        return opened[-1][2] if opened else 0
 
     def close(name: str) -> None:
         nonlocal dropping, scope
         while True:
-            last, drops = opened.pop()
+            last, drops, _ = opened.pop()
             depth[last] -= 1
             scope -= last in SCOPE
             if drops:
                 dropping -= 1
                 if not dropping:
-                    lines.gap(bool(scope))
+                    lines.gap(bool(scope), holder())
             if last == name:
                 return
 
@@ -132,7 +141,7 @@ def page_lines(page: str) -> Lines:
             if name == "a":
                 links = 0
             if name in BLOCKS and not dropping:
-                lines.end(bool(scope))
+                lines.end(bool(scope), holder())
             if depth.get(name):
                 close(name)
             continue
@@ -146,21 +155,25 @@ def page_lines(page: str) -> Lines:
         if name in BLOCKS:
             links = 0
             if not dropping:
-                lines.end(bool(scope))
+                lines.end(bool(scope), holder())
         elif name in ("br", "img", "wbr") and not dropping and name == "br":
             lines.add(" ", True)
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
-        drops = name in DROPPED or name not in SCOPE and name not in ("body", "html") and not_article(attributes)
+        number += 1
+        named = name not in SCOPE and name not in ("body", "html") and number not in spared and not_article(attributes)
+        drops = name in DROPPED or named
         if name in LOOSE and not drops:
             continue
         if drops and not dropping:
-            lines.gap(bool(scope))
+            lines.gap(bool(scope), holder())
+        if dropping and name in SCOPE:
+            lines.around.update(own for last, dropped, own in opened if dropped and last not in DROPPED)
         dropping += drops
         scope += name in SCOPE
-        opened.append((name, bool(drops)))
+        opened.append((name, bool(drops), number))
         depth[name] = depth.get(name, 0) + 1
-    lines.end(bool(scope))
+    lines.end(bool(scope), holder())
     return lines
 
 
@@ -186,19 +199,41 @@ def regions(lengths: list[int], least: int) -> list[tuple[int, int]]:
     return found
 
 
+def joined_regions(rows: list[tuple[str, int, bool, int]], lengths: list[int], least: int) -> list[tuple[int, int]]:
+    """Regions that surge, with all stretches that only a dropped element of the same holder parts from them."""
+    surging = regions(lengths, least)
+    groups: list[list[int]] = []
+    for a, b in regions(lengths, 1):
+        filled = [i for i in range(a, b) if lengths[i]]
+        first, last = filled[0], filled[-1]
+        before = groups[-1][1] if groups else 0
+        gap = {rows[i][3] for i in range(before + 1, first) if not rows[i][0]}
+        if groups and rows[before][3] == rows[first][3] and rows[first][3] in gap:
+            groups[-1][1] = last
+        else:
+            groups.append([first, last])
+    return [(a, b + 1) for a, b in groups if any(x < b + 1 and a < y for x, y in surging)]
+
+
 def main_text(page: str | None) -> str:
-    """The article of a page, its blocks joined by line ends; empty if there is none."""
-    rows = page_lines(page or "").rows
-    if any(scoped for _, _, scoped in rows):
-        lengths = [len(text) if scoped else 0 for text, _, scoped in rows]
+    """The article of a page, its blocks joined by line ends; empty if there is none.
+
+    An element that is named like clutter but holds the page's only article is not dropped.
+    """
+    lines = page_lines(page or "")
+    rows = lines.rows
+    if lines.around and not any(scoped for _, _, scoped, _ in rows):
+        rows = page_lines(page or "", frozenset(lines.around)).rows
+    if any(scoped for _, _, scoped, _ in rows):
+        lengths = [len(text) if scoped else 0 for text, _, scoped, _ in rows]
         kept = regions(lengths, 1)
-    else:
-        lengths = [free for _, free, _ in rows]
-        sums = [sum(lengths[i : i + WIDTH]) for i in range(len(lengths))]
-        kept = regions(lengths, max(1, min(SURGE, max(sums, default=0) // 2)))
-        most = max((sum(lengths[a:b]) for a, b in kept), default=0)
-        kept = [(a, b) for a, b in kept if sum(lengths[a:b]) >= LEAST_SHARE * most]
-    return "\n".join(rows[i][0] for a, b in kept for i in range(a, b) if lengths[i])
+        return "\n".join(rows[i][0] for a, b in kept for i in range(a, b) if lengths[i])
+    lengths = [free for _, free, _, _ in rows]
+    sums = [sum(lengths[i : i + WIDTH]) for i in range(len(lengths))]
+    kept = joined_regions(rows, lengths, max(1, min(SURGE, max(sums, default=0) // 2)))
+    most = max((sum(lengths[a:b]) for a, b in kept), default=0)
+    kept = [(a, b) for a, b in kept if sum(lengths[a:b]) >= LEAST_SHARE * most]
+    return "\n".join(rows[i][0] for a, b in kept for i in range(a, b) if rows[i][0])
 
 
 def extract(pages: DataFrame) -> DataFrame:

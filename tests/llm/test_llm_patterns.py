@@ -29,6 +29,48 @@ def test_page_without_article_element():
     assert html_extract.main_text(page) == f"{body}\n{body}"
 
 
+LONG = " ".join(words(5, 300))
+SHORT = " ".join(words(6, 40))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<div class="content no-sidebar"><p>{LONG}</p></div>', LONG),
+    (f'<div class="hfeed has-sidebar"><article><p>{SHORT}</p></article></div>', SHORT),
+    (f'<div class="widget-page"><article><p>{SHORT}</p></article></div>', SHORT),
+    (f'<div class="comments"><article><p>{SHORT}</p></article></div><main><p>{LONG}</p></main>', LONG),
+    (f'<div id="text"><p>{LONG}</p><div class="advert">Buy now</div><p>{SHORT}</p></div>', f"{LONG}\n{SHORT}"),
+    (f'<div id="text"><p>{LONG}</p><form><input></form><p>End.</p></div><div class="sidebar">x</div>', f"{LONG}\nEnd."),
+    (f'<div id="text"><p>{LONG}</p><p><a href="/x">only a link</a></p><p>{SHORT}</p></div>', f"{LONG}\nonly a link\n{SHORT}"),
+    (f'<article><p>{SHORT}</p><p><a href="/x">only a link</a></p></article>', f"{SHORT}\nonly a link"),
+    (f'<div><a href="/m">menu</a></div><div class="ad-slot">ad</div><div id="text"><p>{LONG}</p></div>', LONG),
+])
+def test_names_gaps_and_links_lose_no_article(page, text):
+    assert html_extract.main_text(f"<html><body>{page}</body></html>") == text
+
+
+def plain_regions(lengths, least):
+    """Stretches between empty windows, by looking at every window."""
+    width, n = html_extract.WIDTH, len(lengths)
+    sums = [sum(lengths[i : i + width]) for i in range(n)]
+    out, start = [], 0
+    for i in range(n + 1):
+        if i == n or sums[i] == 0:
+            if any(s >= least for s in sums[start:i]):
+                out.append((start, i))
+            start = i + 1
+    return out
+
+
+def test_regions_equal_brute_force():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(500):
+        lengths = [rng.choice([0, 0, 0, 0, 1, 30, 90]) for _ in range(rng.randint(0, 25))]
+        for least in (1, 40, 100):
+            assert html_extract.regions(lengths, least) == plain_regions(lengths, least)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<!-- never closed", "<script>x", "<article>", "<p><p><p>", "</div>" * 1000])
 def test_pages_without_text(page):
     assert html_extract.main_text(page) == ""
