@@ -334,3 +334,27 @@ def osv_explode(spark, sf_dir):
     rows = I.explode_osv(records, "PyPI", "osv")
     return rows.select("package_id", "advisory_id", "published_date",
                        F.array_join("cve_ids", ",").alias("cve_ids"), "cvss", "source")
+
+
+@register("nested_severity", """
+WITH nested AS (
+  SELECT l_orderkey AS k, max(TRY_CAST(CASE WHEN l_partkey % 7 = 0 THEN 'n/a' ELSE CAST(CAST(l_partkey % 100 AS DOUBLE) / 10
+    AS VARCHAR) END AS DOUBLE)) AS s FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1),
+rec AS (SELECT o_custkey AS entity, COALESCE(s, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey % 90 AS DOUBLE) / 10 END) AS score
+  FROM orders LEFT JOIN nested ON k = o_orderkey),
+p AS (SELECT *, CASE WHEN score IS NULL OR score = 0 THEN 0 WHEN score < 4 THEN 1 WHEN score < 7 THEN 3 WHEN score < 9 THEN 6
+  ELSE 10 END AS points FROM rec)
+SELECT entity, count(*) AS record_count, max(score) AS max_cvss, CAST(sum(points) AS BIGINT) AS severity_bonus,
+  CASE WHEN max(score) <= 0 THEN 'none' WHEN max(score) < 4 THEN 'low' WHEN max(score) < 7 THEN 'medium'
+    WHEN max(score) < 9 THEN 'high' WHEN max(score) IS NOT NULL THEN 'critical' END AS severity
+FROM p GROUP BY entity""")
+def nested_severity(spark, sf_dir):
+    """Records with nested vulnerabilities: order lines are the vulnerabilities of their order."""
+    part, order = F.col("l_partkey"), F.col("o_orderkey")
+    score = F.when(part % 7 == 0, "n/a").otherwise(((part % 100) / 10).cast("string"))
+    lines = B.table(spark, sf_dir, "lineitem").where(part % 3 == 0).groupBy("l_orderkey").agg(
+        F.collect_list(F.struct(F.struct(score.alias("base_score")).alias("cvss"))).alias("vulnerabilities"))
+    orders = B.table(spark, sf_dir, "orders").select(
+        order, F.col("o_custkey").alias("entity"), F.when(order % 5 > 0, ((order % 90) / 10).cast("string")).alias("summary_score"))
+    records = orders.join(lines, F.col("l_orderkey") == order, "left")
+    return B.rounded(I.nested_severity(records))

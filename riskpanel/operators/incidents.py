@@ -328,3 +328,15 @@ def worst_entities(incidents: DataFrame, n: int = 10) -> DataFrame:
         incidents.where(F.col("cvss").isNotNull()).groupBy("entity")
         .agg(F.max("cvss").alias("max_cvss")).orderBy(F.desc("max_cvss"), "entity").limit(n)
     )
+
+
+def nested_severity(records: DataFrame, key: str = "entity") -> DataFrame:
+    """Worst score, its label and the points of all records per entity, for records with nested scores.
+
+    ``vulnerabilities`` hold ``cvss.base_score``; the record's ``summary_score`` counts only where none of them parses.
+    """
+    scored = records.select(key, S.nested_record_score(F.col("vulnerabilities"), F.col("summary_score")).alias("score"))
+    worst = scored.groupBy(key).agg(
+        F.count(F.lit(1)).alias("record_count"), F.max("score").alias("max_cvss"),
+        F.sum(S.severity_bonus(F.col("score"))).alias("severity_bonus"))
+    return worst.withColumn("severity", S.severity_label(F.col("max_cvss")))
