@@ -45,9 +45,11 @@ MAP_BITS = 1 << 25
 CHUNK_WORDS = 1 << 21
 CHUNK_KINDS = 1 << 19
 PART = 1 << 18
+#: Sizes of scores an octave when a level is chosen.
+LEVEL_STEPS = 12
 SENT_ROWS = 1 << 16
+FREE_BITS = 64 - (MAP_BITS.bit_length() - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-WHOLE = (1 << 64) - 1
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 MARK = b","
@@ -61,13 +63,15 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def mixed(hashes: list[np.ndarray]) -> np.ndarray:
-    """A hash of phrases from the hashes of their words, in order."""
+    """Places of phrases in a bitmap, from the hashes of their words in order; a word's are its first bits."""
+    if len(hashes) == 1:
+        return hashes[0] >> np.uint64(FREE_BITS)
     with np.errstate(over="ignore"):
         out = np.full(len(hashes[0]), len(hashes), np.uint64)
         for own in hashes:
             out = (out ^ (out >> np.uint64(29))) * MIX + own
         out ^= out >> np.uint64(32)
-        return (out * MIX) >> np.uint64(64 - (MAP_BITS.bit_length() - 1))
+        return (out * MIX) >> np.uint64(FREE_BITS)
 
 
 def word_hash(word: bytes, lang: int) -> int:
@@ -86,12 +90,6 @@ class Bitmap:
 
         self.packed = bits.tobytes()
 
-    def has_word(self, own: int) -> bool:
-        """Whether the phrase of one word is in, as :func:`mixed` places it."""
-        out = (int(MIX) + own) & WHOLE
-        place = ((out ^ (out >> 32)) * int(MIX) & WHOLE) >> (64 - (MAP_BITS.bit_length() - 1))
-        return bool(self.packed[place >> 3] >> (place & 7) & 1)
-
     def has(self, places: np.ndarray) -> np.ndarray:
         return (self.bits[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
@@ -120,12 +118,12 @@ class Words(dict):
 
     def __init__(self, lang: str, kinds: list[tuple[str, bytes, int]], common: Bitmap) -> None:
         super().__init__({MARK: -1})
-        self.lang, self.seed, self.kinds, self.common = lang, lang_hash(lang), kinds, common
+        self.lang, self.seed, self.kinds, self.packed = lang, lang_hash(lang), kinds, common.packed
 
     def __missing__(self, word: bytes) -> int:
-        own = word_hash(word, self.seed)
-        number = -1
-        if self.common.has_word(own):
+        own = xxhash.xxh64_intdigest(word, self.seed)
+        place, number = own >> FREE_BITS, -1
+        if self.packed[place >> 3] >> (place & 7) & 1:
             number = len(self.kinds)
             self.kinds.append((self.lang, word, own))
         self[word] = number
@@ -285,14 +283,16 @@ def with_bounds(phrases: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def levels_of(scores: DataFrame, wanted: int) -> DataFrame:
-    """``lang, level``: the score of the ``wanted``-th best phrase, 0 where there are fewer.
+    """``lang, level``: a score that at least ``wanted`` phrases reach, and not many more; 0 where there are fewer.
 
-    Scores are whole numbers up to half of ``SCALE``, so a language has a bounded number of rows here.
+    Scores are summed by size on a logarithmic scale, so a language has at most ``20 * LEVEL_STEPS`` rows here; the level is
+    the least score of the size in which the ``wanted``-th best phrase lies.
     """
-    sums = scores.groupBy("lang", "score").agg(F.count("*").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("score")))
+    size = F.floor(F.log2(F.col("score") + 1) * LEVEL_STEPS).alias("size")
+    sums = scores.groupBy("lang", size).agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("size")))
     reached = sums.withColumn("so_far", so_far).groupBy("lang")
-    return reached.agg(F.max(F.when(F.col("so_far") >= wanted, F.col("score"))).alias("level")).select(
+    return reached.agg(F.max(F.when(F.col("so_far") >= wanted, F.col("low"))).alias("level")).select(
         "lang", F.coalesce("level", F.lit(0)).alias("level")
     )
 
@@ -375,6 +375,9 @@ def mine(docs: DataFrame, first: int = FIRST, least: int = LEAST) -> DataFrame:
             break
         scored, wanted = everything, 2 * wanted
 
+    # what cannot be among the first of its language stays out of the order
+    cut = levels_of(result, first)
+    result = result.join(cut, "lang").where(F.col("score") >= F.col("level"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = result.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
     return best.join(totals, "lang").select(
