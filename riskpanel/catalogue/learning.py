@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskpanel.catalogue import bindings as B
-from riskpanel.catalogue import register
+from riskpanel.catalogue import ORACLES, register
+from riskpanel.catalogue.activity import PX
 from riskpanel.catalogue.cohort import _PANEL_SQL
-from riskpanel.catalogue.panel import _labelled
+from riskpanel.catalogue.panel import _LABELS, _labelled
 from riskpanel.operators import activity as A
+from riskpanel.operators import cohort as C
 from riskpanel.operators import splits as S
 from riskpanel.plans import training as M
 from riskpanel.plans.panel_build import labelled_panel
@@ -217,3 +219,33 @@ def score_bundle(spark, sf_dir):
     M.save_artifacts(trained, path, fills)
     scorer = M.load_scorer(spark, path)
     return M.score_with(scorer.pipeline, scorer.columns, _bundle(spark, sf_dir), "2001-08-31")
+
+
+_COHORTS = ("releases", "team", "either", "commits")
+_ODDS_TAIL = ORACLES["odds_ratios"].split("u AS (", 1)[1].replace(
+    "['stale', 'busy', 'either', 'many']", str(list(_COHORTS))).replace(
+    "[stale, busy, either, many]", f"[{', '.join(_COHORTS)}]")
+
+
+@register("cohort_factors", f"""WITH {B.SUPPLIER_GRID_SQL}, {B.SUPPLIER_INCIDENTS_SQL}, {B.SUPPLIER_VISITS_SQL},
+had AS (
+  SELECT g.entity, g.month, g.window_index, count(i.incident_key) > 0 AS had FROM grid g LEFT JOIN incidents i
+    ON i.entity = g.entity AND i.published BETWEEN g.window_start AND g.window_end GROUP BY ALL),
+lab AS (SELECT entity, month, {_LABELS} FROM had),
+rel AS (SELECT entity, month, {PX}months_since_release_tag AS m FROM ({ORACLES['staleness']})),
+people AS (SELECT entity, month, {PX}unique_human_actors_trailing_6m AS n FROM ({ORACLES['rolling_sums']})),
+best AS (SELECT g.entity, g.month, arg_max(v, (v.visit_day, v.visit)) AS v, any_value(g.window_end) AS window_end
+  FROM grid g JOIN visits v ON v.entity = g.entity AND v.visit_day <= g.window_end GROUP BY g.entity, g.month),
+days AS (SELECT entity, month, CASE WHEN v.days_since_last_commit IS NOT NULL THEN
+  greatest(0, date_diff('day', v.visit_day, window_end) + CAST(floor(v.days_since_last_commit) AS BIGINT)) END AS d FROM best),
+x AS (SELECT CASE WHEN l.month < '{B.TEST_START}' THEN 'train' ELSE 'test' END AS win,
+    COALESCE(label_advisory_within_6m = 1, FALSE) AS pos, m >= 12 AS releases, n <= 2 AS team,
+    CASE WHEN m IS NOT NULL AND n IS NOT NULL THEN m >= 12 OR n <= 2 END AS either, d >= 365 AS commits
+  FROM lab l JOIN rel ON rel.entity = l.entity AND rel.month = l.month
+  JOIN people p ON p.entity = l.entity AND p.month = l.month LEFT JOIN days ON days.entity = l.entity AND days.month = l.month),
+u AS ({_ODDS_TAIL}
+UNION ALL SELECT win, factor, n_rows, a, b, c, d, missing, NULL, NULL, NULL, NULL, NULL, NULL FROM o
+WHERE a + b = 0 OR c + d = 0""")
+def cohort_factors(spark, sf_dir):
+    """Odds of the published cohorts: stale releases, small teams, either, and stale commits."""
+    return C.odds_ratios(_full(spark, sf_dir), C.default_factors(), LABEL, B.TEST_START).drop("rate_ratio")
