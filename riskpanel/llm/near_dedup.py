@@ -38,7 +38,7 @@ PERCENT = 75
 #: Bits in which sketches of linked texts may differ: 16 of 128 are expected at the threshold.
 SKETCH_BITS = 36
 #: Sets of shingles that a task keeps for pairs to come.
-HELD_SETS = 64
+HELD_SETS = 24
 #: Bits of a set's bitmap; more shingles than bits only make the test weaker.
 BITMAP = 2048
 PART = 4096
