@@ -200,8 +200,7 @@ def event_fan_out(spark, sf_dir):
         F.col("o_orderkey").alias("event_id"),
         F.concat(F.lit("org/repo"), (F.col("o_orderkey") % 150).cast("string")).alias("repo"),
         D.month_key(F.col("o_orderdate")).alias("month"))
-    return A.fan_out(events, repos).groupBy("entity", "month").agg(
-        F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
+    return A.fan_out_months(events, repos)
 
 
 # --- short-grid activity: the events table as raw payload events -----------------------------
