@@ -9,6 +9,7 @@ from riskpanel.catalogue import bindings as B
 from riskpanel.catalogue import ORACLES, register
 from riskpanel.catalogue.panel import _TO_DATE, _labelled
 from riskpanel.operators import ranking as R
+from riskpanel.session import materialize
 
 _P = f"""WITH {B.PREDICTIONS_SQL},
 r AS (SELECT *, row_number() OVER (ORDER BY y_prob DESC, month, entity) AS rank,
@@ -164,8 +165,10 @@ MONTH = "2000-06"
 def _snapshot(spark, sf_dir):
     """One month of the customer panel, and a deterministic model score for it."""
     month = _labelled(spark, sf_dir).where(F.col("month") == MONTH)
-    snapshot = month.select("entity", F.col("advisory_count_to_date").alias("advisory_count"),
-                            (F.col("label_advisory_within_6m") == 1).alias("positive"))
+    # written once: the comparisons read it several times, and each would build the panel of all months again
+    snapshot = materialize(month.select(
+        "entity", F.col("advisory_count_to_date").alias("advisory_count"),
+        (F.col("label_advisory_within_6m") == 1).alias("positive")), "snapshot")
     preds = snapshot.select(
         "entity", F.lit(MONTH).alias("month"), F.col("positive").cast("int").alias("y_true"),
         (F.col("entity") * 7919 % 1000 / 1000).alias("y_prob"))
