@@ -9,6 +9,7 @@ from riskpanel.catalogue import register
 from riskpanel.functions import text as T
 from riskpanel.functions import urls as U
 from riskpanel.operators import identity as Y
+from riskpanel.session import materialize
 from riskpanel.sources import readers
 
 
@@ -86,7 +87,7 @@ own AS (SELECT DISTINCT COALESCE(r.canonical, 'n' || CAST(c_custkey AS VARCHAR))
 SELECT entity, entity AS candidate, CAST(0 AS BIGINT) AS is_alias FROM own
 UNION ALL SELECT entity, alias, 1 FROM own JOIN amap ON amap.canonical = own.entity""")
 def alias_reverse(spark, sf_dir):
-    edges = _alias_map(spark, sf_dir)
+    edges = materialize(_alias_map(spark, sf_dir), "alias-map")  # read by the closure and by the lookup of direct aliases
     names = B.table(spark, sf_dir, "customer").select(_name("n", F.col("c_custkey")).alias("entity"))
     return B.rounded(Y.alias_candidates(names, edges, Y.resolve_aliases(edges)))
 
